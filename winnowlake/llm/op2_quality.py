@@ -21,24 +21,16 @@ from pyspark.sql import functions as F
 from . import common
 
 SYMBOLS = "#*$%&|<>"
-#: Rule name -> condition of failure over the measurements; a rule's bit is its place here. Append only.
-RULES = {
-    "min_words": "n_words < 50",
-    "repeated_words": "100 * n_repeat_words > 50 * n_words",
-    "symbols": "100 * n_symbols > 10 * n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
-    "long_words": "word_chars > 14 * n_words",
-    "short_words": "word_chars < 2 * n_words",
-    "exclamations": "100 * n_exclamations > 10 * n_words",
-}
+#: The rules; a rule's bit is its place here. Append only.
+RULES = ("min_words", "repeated_words", "symbols", "duplicate_lines", "long_words", "short_words", "exclamations")
 BASE = ("min_words", "repeated_words")
 #: Policies by version.
-POLICIES = {"base-1": BASE, "strict-1": (*BASE, "symbols", "duplicate_lines"), "strict-2": tuple(RULES)}
+POLICIES = {"base-1": BASE, "strict-1": (*BASE, "symbols", "duplicate_lines"), "strict-2": RULES}
 PRODUCTION = "strict-2"
 
 
 def mask(rules) -> int:
-    return sum(1 << list(RULES).index(r) for r in set(rules))
+    return sum(1 << RULES.index(r) for r in set(rules))
 
 
 def let(value: Column, body) -> Column:
@@ -70,20 +62,48 @@ def repeated(words: Column) -> Column:
     return F.when(n < 3, F.lit(0).cast("long")).otherwise(let(F.sort_array(windows), lambda s: covered(positions(s))))
 
 
-def ledger(docs: DataFrame) -> DataFrame:
-    """doc_id, measurements, failed (bit i: rule i failed)."""
-    rows = common.id_text(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    text = F.col("text")
+def measures(text: Column) -> Column:
+    """A struct of all measurements of a text that is not null."""
     words = F.filter(F.split(text, f"{common.WS_CLASS}+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     by_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated(w).alias("n_repeat_words")))
     by_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    measured = rows.select("doc_id", by_words.alias("w"), by_lines.alias("l"), count_of(text, SYMBOLS).alias("n_symbols"), count_of(text, "!").alias("n_exclamations"))
-    flat = measured.select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_exclamations")
-    failed = F.lit(0).cast("long")
-    for i, condition in enumerate(RULES.values()):
-        failed = failed.bitwiseOR(F.when(F.expr(condition), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
-    return flat.withColumn("failed", failed)
+    pair = F.struct(by_words.alias("w"), by_lines.alias("l"))
+    part = lambda p, k: p[k[0]][k[1:]].alias(k[1:])
+    return let(pair, lambda p: F.struct(part(p, "wn_words"), part(p, "wword_chars"), count_of(text, SYMBOLS).alias("n_symbols"), part(p, "ln_dup_lines"), part(p, "wn_repeat_words"), part(p, "ln_lines"), count_of(text, "!").alias("n_exclamations")))
+
+
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_exclamations")
+
+
+def failed(m: Column) -> Column:
+    """The bits of the rules that a struct of measurements fails."""
+    total = {k: m[k] for k in NAMES}
+    conditions = {
+        "min_words": total["n_words"] < 50,
+        "repeated_words": 100 * total["n_repeat_words"] > 50 * total["n_words"],
+        "symbols": 100 * total["n_symbols"] > 10 * total["n_words"],
+        "duplicate_lines": 100 * total["n_dup_lines"] > 30 * total["n_lines"],
+        "long_words": total["word_chars"] > 14 * total["n_words"],
+        "short_words": total["word_chars"] < 2 * total["n_words"],
+        "exclamations": 100 * total["n_exclamations"] > 10 * total["n_words"],
+    }
+    bits = F.lit(0).cast("long")
+    for i, name in enumerate(RULES):
+        bits = bits.bitwiseOR(F.when(conditions[name], F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return bits
+
+
+def ledger(docs: DataFrame) -> DataFrame:
+    """doc_id, measurements, failed (bit i: rule i failed)."""
+    entry = let(measures(F.coalesce("text", F.lit(""))), lambda m: F.struct(m.alias("m"), failed(m).alias("failed")))
+    return common.id_text(docs).select("doc_id", entry.alias("e")).select("doc_id", "e.m.*", "e.failed")
+
+
+def keep(docs: DataFrame, policy: str = PRODUCTION) -> DataFrame:
+    """The rows of docs, with all their columns, that a policy keeps."""
+    bits = let(measures(F.coalesce(F.col("text").cast("string"), F.lit(""))), failed)
+    return docs.where(bits.bitwiseAND(F.lit(mask((*BASE, *POLICIES[policy]))).cast("long")) == 0)
 
 
 def apply(led: DataFrame, policy: str = PRODUCTION) -> DataFrame:

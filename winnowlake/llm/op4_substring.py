@@ -136,36 +136,84 @@ def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     return common.settled(spark, lists.select("doc_id", "check", F.col("m.start").alias("starts"), F.col("m.source").alias("sources")), "matches")
 
 
+def with_matches(docs: DataFrame, window: int, anchor: int) -> DataFrame:
+    """docs with the columns _starts and _sources (null: no match)."""
+    found = matches(docs, window, anchor).select(F.col("doc_id").alias("_id"), F.col("check").alias("_check"), F.col("starts").alias("_starts"), F.col("sources").alias("_sources"))
+    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.crc32(F.col("text").cast("string")) == F.col("_check"))
+    return docs.join(found, same, "left").drop("_id", "_check")
+
+
+def cut(text, starts, sources, window: int) -> tuple[int, list, pa.Array]:
+    """A text's number of words, its factors, and the words that no factor covers."""
+    _, words = common.split_words(pa.array([text], pa.large_string()))
+    factors = parse(starts.values.to_numpy(), sources.values.to_numpy(), window) if starts.is_valid else []
+    keep = np.ones(len(words), bool)
+    for a, size, _ in factors:
+        keep[a : a + size] = False
+    return len(words), factors, words.filter(pa.array(keep)) if factors else words
+
+
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, digest: bool = False) -> DataFrame:
-    """One row a document: doc_id, n_words, n_removed, factors (start, words, source), and kept:
-    the words left, joined by one space (with digest: their SHA-256 in hex instead)."""
-    rows = common.id_text(docs).withColumn("check", F.crc32("text"))
-    rows = rows.join(matches(docs, window, anchor), ["doc_id", "check"], "left").drop("check")
-    kind = "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start: int, words: int, source: long>>"
+    """One row a document: doc_id, n_words, n_removed, kept (the words left, joined by one space;
+    with digest their SHA-256 in hex), factors (start, words, source)."""
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("source", pa.int64())]))]
+    names = ["doc_id", "n_words", "n_removed", "kept", "factors"]
 
-    def cut(batches):
+    def each(batches):
         for b in batches:
-            starts, sources = b["starts"], b["sources"]
-            texts, keys = b["text"], b["doc_id"]
             out = []
-            for i in range(len(keys)):
-                offsets, words = common.split_words(texts[i : i + 1])
-                n, factors = len(words), []
-                if starts[i].is_valid:
-                    factors = parse(starts[i].values.to_numpy(), sources[i].values.to_numpy(), window)
-                keep = np.ones(n, bool)
-                for a, size, _ in factors:
-                    keep[a : a + size] = False
-                kept = words.filter(pa.array(keep)) if factors else words
-                text = b" ".join(kept.cast(pa.large_binary()).to_pylist())
-                out.append((keys[i].as_py(), n, n - len(kept), hashlib.sha256(text).hexdigest() if digest else text.decode(), [{"start": a, "words": w, "source": s} for a, w, s in factors]))
+            for key, text, starts, sources in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["_starts"], b["_sources"]):
+                n, factors, kept = cut(text, starts, sources, window)
+                joined = b" ".join(kept.cast(pa.large_binary()).to_pylist())
+                out.append((key, n, n - len(kept), hashlib.sha256(joined).hexdigest() if digest else joined.decode(), [{"start": a, "words": w, "source": s} for a, w, s in factors]))
             cols = list(zip(*out)) or [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("source", pa.int64())]))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["doc_id", "n_words", "n_removed", "kept", "factors"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+    rows = with_matches(common.id_text(docs), window, anchor)
+    return rows.mapInArrow(each, "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start: int, words: int, source: long>>")
 
-    return rows.select("doc_id", "text", "starts", "sources").mapInArrow(cut, kind)
+
+def keep(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """docs with duplicate words removed from text (and n_chars to match, if there is one). A
+    text that loses words has the rest joined by one space; others stay as they are; a document
+    that loses all its words goes."""
+    names, schema = docs.columns, docs.schema
+    at = names.index("text")
+
+    def each(batches):
+        for b in batches:
+            hit = np.flatnonzero(np.asarray(b["_starts"].is_valid()))
+            texts, gone = b["text"].to_pylist(), set()
+            for i in hit.tolist():
+                _, _, kept = cut(texts[i], b["_starts"][i], b["_sources"][i], window)
+                texts[i] = " ".join(kept.to_pylist())
+                if not len(kept):
+                    gone.add(i)
+            cols = [b[n] for n in names]
+            cols[at] = pa.array(texts, pa.string())
+            if "n_chars" in names:
+                old = b["n_chars"].to_pylist()
+                for i in hit.tolist():
+                    old[i] = len(texts[i])
+                cols[names.index("n_chars")] = pa.array(old, b["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array([i not in gone for i in range(len(texts))]))
+
+    return with_matches(docs, window, anchor).mapInArrow(each, schema)
 
 
 def op4_substring(spark, sf_dir: str) -> DataFrame:
     out = dedup(common.table(spark, sf_dir, "documents"), digest=True)
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
+
+
+#: The same by string comparison of whole phrases.
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, i, array_to_string(ws[i : i + 49], ' ') AS phrase FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+f AS (SELECT phrase, min(doc_id) AS first FROM p GROUP BY phrase),
+c AS (SELECT doc_id, list(DISTINCT i + k) AS gone FROM (SELECT p.doc_id, p.i FROM p JOIN f USING (phrase) WHERE f.first < p.doc_id), range(50) o(k) GROUP BY doc_id),
+u AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+k AS (SELECT u.doc_id, array_to_string(list(ws[i] ORDER BY i), ' ') AS kept, count(*) AS n FROM u LEFT JOIN c ON c.doc_id = u.doc_id WHERE c.gone IS NULL OR NOT list_contains(c.gone, i) GROUP BY u.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""

@@ -241,6 +241,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(common.settled(spark, whole, "components"), "fp")
 
 
+def keep(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of docs, with all its columns, for each component: the one of the least doc_id.
+    Rows with a null doc_id stay only if their component has no other doc_id."""
+    groups = near_duplicates(docs, radius, shingle)
+    first = common.settled(docs.sparkSession, groups.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "first")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_first"))
+    kept = docs.join(first.select(F.col("doc_id").alias("_first"), "_rows"), same)
+    names = docs.columns
+    once = kept.where("_rows = 1").select(*names)
+    if first.where("_rows > 1").isEmpty():
+        return once
+    return once.unionByName(kept.where("_rows > 1").select(*names).dropDuplicates(["doc_id"]))
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

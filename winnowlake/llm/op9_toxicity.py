@@ -357,31 +357,51 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     return {"share": share, "tables": tables, "net": net.p, "slope": slope, "intercept": intercept}
 
 
+def scorer(spark, model: dict):
+    """A function from an Arrow array of texts to their scores, to run on executors."""
+    sent = spark.sparkContext.broadcast(model)
+
+    def run(texts: pa.Array) -> np.ndarray:
+        model = sent.value
+        if "net" not in model:
+            return np.full(len(texts), model["share"])
+        net = Network()
+        net.p = model["net"]
+        offsets, words = common.split_words(texts)
+        codes, distinct = common.coded_words(words)
+        doc, first, size = windows_of(offsets)
+        rows = features(distinct, *model["tables"])
+        best = np.full(len(texts), -np.inf)
+        np.maximum.at(best, doc, logits(net, rows, codes, first, size))
+        return 1 / (1 + np.exp(-np.clip(model["slope"] * best + model["intercept"], -30, 30)))
+
+    return run
+
+
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score. Whole texts, all overlapping windows."""
     common.small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    run = scorer(docs.sparkSession, model)
 
     def each(batches):
-        model = sent.value
-        net = Network()
-        net.p = model.get("net", net.p)
         for b in batches:
-            if "net" not in model:
-                yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "score": pa.array([model["share"]] * b.num_rows, pa.float64())})
-                continue
-            offsets, words = common.split_words(b["text"])
-            codes, distinct = common.coded_words(words)
-            doc, first, size = windows_of(offsets)
-            rows = features(distinct, *model["tables"])
-            best = np.full(b.num_rows, -np.inf)
-            np.maximum.at(best, doc, logits(net, rows, codes, first, size))
-            out = 1 / (1 + np.exp(-np.clip(model["slope"] * best + model["intercept"], -30, 30)))
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "score": pa.array(out)})
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "score": pa.array(run(b["text"]))})
 
     return common.id_text(docs).mapInArrow(each, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold."""
+    common.small_batches(docs.sparkSession)
+    run = scorer(docs.sparkSession, model)
+
+    def each(batches):
+        for b in batches:
+            yield b.filter(pa.array(run(b["text"]) < threshold))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, common.table(spark, sf_dir, "labels").where(~held_out()))
