@@ -6,6 +6,7 @@ A *word* is a maximal run of characters other than the six ASCII white-space cha
 
 from __future__ import annotations
 
+import array
 import os
 import tempfile
 import uuid
@@ -100,43 +101,133 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
-_tokenizers: dict = {}
+def vocabulary_path(name: str) -> str:
+    """Where a vocabulary file of the installed collection lies."""
+    import public_tokenizers
 
+    return public_tokenizers.path(name)
 
-def tokenizer(path: str):
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+#: A word of Latin-1 letters, and the marks behind it.
+PLAIN_WORD = r"^(?P<stem>[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)(?P<marks>[.,;:!?\"()]*)$"
+#: Stems that a worker keeps, and words that go through the whole tokenizer at once.
+KEPT_STEMS, SLOW_WORDS = 250_000, 2000
 
 
-def vocabulary_path(name: str) -> str:
-    """Where a vocabulary file of the installed collection lies."""
-    import public_tokenizers
+def byte_letters() -> dict[int, str]:
+    """What stands for each byte in a byte-level vocabulary: itself if it is printable, else a
+    letter from U+0100 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(other)}
 
-    return public_tokenizers.path(name)
+
+class WordTokens:
+    """The ids of words, by a tokenizer of which no token crosses white space.
+
+    A word of Latin letters is one match of the tokenizer's pattern: its lower case goes straight
+    to the merges, and its ids are kept. Marks behind it are a match of their own. All other words
+    go through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.letters = {c: "".join(byte_letters()[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        # the short way must be the tokenizer's own; if a vocabulary's isn't, all words go the long way
+        probe = ["House", "ÉtÉ", "straße", "zzqx", "a"]
+        self.short = [self.stem(w.lower()) for w in probe] == [self.tokenizer.encode(w, add_special_tokens=False).ids for w in probe]
+        self.forget()
+
+    def forget(self) -> None:
+        self.code: dict[str, int] = {}
+        self.ids, self.ends = array.array("I"), array.array("q", [0])
+
+    def stem(self, low: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(low if low.isascii() else low.translate(self.letters))]
+
+    def add(self, word: str, ids: list[int]) -> None:
+        self.code[word] = len(self.ends) - 1
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+
+    def stems(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of stems or marks, and their lengths."""
+        if len(self.code) > KEPT_STEMS:
+            self.forget()
+        code = self.code
+        for w in words:
+            if w not in code:
+                self.add(w, self.stem(w) if w.isalpha() else self.tokenizer.encode(w, add_special_tokens=False).ids)
+        at = np.fromiter((code[w] for w in words), np.int64, len(words))
+        ends = np.array(self.ends, dtype=np.int64)
+        lengths = ends[at + 1] - ends[at]
+        return np.array(self.ids, dtype=np.uint32)[gather(ends[at], lengths)], lengths
+
+    def slow(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts, lengths = [np.zeros(0, np.uint32)], np.zeros(len(words), np.int64)
+        for i in range(0, len(words), SLOW_WORDS):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + SLOW_WORDS], add_special_tokens=False)]
+            lengths[i : i + len(found)] = list(map(len, found))
+            parts.append(np.fromiter((x for e in found for x in e), np.uint32))
+        return np.concatenate(parts), lengths
+
+    def encode(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of different words, and their lengths."""
+        n = len(distinct)
+        parts = pc.extract_regex(distinct, PLAIN_WORD)
+        plain = np.asarray(parts.is_valid()) if self.short else np.zeros(n, bool)
+        fast, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        rows = parts.take(pa.array(fast))
+        columns = []  # (words, flat ids, lengths) in the order in which they stand in a word
+        for name in ("stem", "marks"):
+            code, known = coded_words(pc.utf8_lower(rows.field(name)))
+            flat, lengths = self.stems(known.to_pylist())
+            starts = np.cumsum(lengths) - lengths
+            own = lengths[code]
+            columns.append((fast, flat[gather(starts[code], own)], own))
+        columns.append((rest, *self.slow(distinct.take(pa.array(rest)).to_pylist())))
+        lengths = np.zeros(n, np.int64)
+        for words, _, own in columns:
+            lengths[words] += own
+        out, filled = np.zeros(int(lengths.sum()), np.uint32), np.cumsum(lengths) - lengths
+        for words, flat, own in columns:
+            out[gather(filled[words], own)] = flat
+            filled[words] += own
+        return out, lengths
+
+
+_tokens: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    if path not in _tokens:
+        _tokens[path] = WordTokens(path)
+    return _tokens[path]
 
 
 def token_ids(texts: pa.Array | pa.ChunkedArray, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All texts' ids, one after the other and end_id after each text, and their offsets.
 
-    No token of this vocabulary crosses white space, so each different word of the batch is
-    encoded once. A null text has its end id alone.
+    Each different word of the batch is encoded once. A null text has its end id alone.
     """
     offsets, words = split_words(texts)
     codes, distinct = coded_words(words)
-    found = tokenizer(path).encode_batch_fast(distinct.to_pylist(), add_special_tokens=False)
-    ids = [e.ids for e in found]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((x for e in ids for x in e), np.uint32, int(lengths.sum()))
+    flat, lengths = word_tokens(path).encode(distinct)
     starts = np.cumsum(lengths) - lengths
-    out = flat[gather(starts[codes], lengths[codes])] if len(codes) else flat[:0]
-    ends = np.concatenate([[0], np.cumsum(lengths[codes])])[offsets]
+    own = lengths[codes]
+    ends = np.concatenate([[0], np.cumsum(own)])[offsets]
     n = len(offsets) - 1
-    full = np.insert(out, ends[1:], end_id).astype(np.uint32) if n else out
-    return full, ends + np.arange(n + 1)
+    out = np.empty(int(ends[-1]) + n, np.uint32)
+    cuts = ends + np.arange(n + 1)
+    last = cuts[1:] - 1
+    out[last] = end_id
+    body = np.ones(len(out), bool)
+    body[last] = False
+    out[body] = flat[gather(starts[codes], own)]
+    return out, cuts
 
 
 def crc(ids: np.ndarray) -> int:

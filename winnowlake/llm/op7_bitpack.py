@@ -106,7 +106,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
     common.small_batches(spark)
     rows = common.id_text(docs)
     files = max(common.partitions(spark), math.ceil(rows.count() / ROWS_PER_FILE))
-    width = width_of(common.tokenizer(path).get_vocab_size())
+    width = width_of(common.word_tokens(path).tokenizer.get_vocab_size())
 
     def save(batches):
         from pyspark import TaskContext
