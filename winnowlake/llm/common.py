@@ -65,6 +65,44 @@ def settled(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of an id filter at least and at most; the most is 8 MB.
+FILTER_BITS = (1 << 18, 1 << 26)
+
+
+def id_filter(ids: DataFrame, column: str = "doc_id"):
+    """A function that splits a DataFrame by a bitmap of hashed ids.
+
+    split(df, True) has all rows whose id is in ids, and a few more; split(df, False) has the
+    rest, none of which is. The bitmap has eight bits or more for each id up to its largest size,
+    beyond which more rows pass as True: its size is bounded and no row is lost.
+    """
+    spark = ids.sparkSession
+    bits = FILTER_BITS[0]
+    n = ids.count()
+    while bits < FILTER_BITS[1] and bits < 8 * n:
+        bits *= 2
+    slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
+    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(s, 64) AS int))")).alias("b"))
+    found = words.toArrow()
+    bitmap = np.zeros(bits // 64, np.int64)
+    if found.num_rows:
+        bitmap[found["w"].to_numpy()] = found["b"].to_numpy()
+    sent = spark.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    def split(df: DataFrame, inside: bool) -> DataFrame:
+        names = df.columns
+
+        def each(batches):
+            for b in batches:
+                s = np.asarray(b["_slot"].fill_null(0)).astype(np.uint64)
+                hit = ((sent.value[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1)).astype(bool)
+                yield b.select(names).filter(pa.array(hit == inside))
+
+        return df.withColumn("_slot", F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))).mapInArrow(each, df.schema)
+
+    return split
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -1,19 +1,24 @@
 """Substring dedup by relative Lempel-Ziv parsing (operator 4).
 
-Every document is factored against the documents of smaller doc_id. Their text is indexed in
-reference blocks: a phrase (a run of WINDOW words) lives in the block of its hash, with the
-smallest doc_id that has it. Most phrases occur once, so blocks are laid out in two steps:
-
-1. anchors: each phrase is represented by the least hash among its ANCHOR-word shingles. Equal
-   phrases have equal anchors, and a document has about one anchor for every twenty words. Only
-   anchors found in two documents are kept.
-2. phrases whose anchor is kept are indexed: 128-bit hash and smallest doc_id, if there are two.
-
-A document's phrases that the index knows from a smaller doc_id are its matches. The parse is
-greedy: a factor starts at the first match and runs on word by word while the next phrase lies in
-the same reference document. At a factor's boundary the phrases that start inside it and end
-beyond it are checked on their own, so that the factors cover every matching phrase. Words under
-a factor are removed.
+Every document is factored against the documents of smaller doc_id, in units of phrases (runs of
+WINDOW words). Equal phrases share their anchor, the least hash among their ANCHOR-word shingles.
+Neighbouring phrases with one anchor form a block (about twenty phrases); blocks are cut by
+content alone, so a shared passage gives equal blocks but for its ends.
+
+1. Blocks: a reference table holds each different block with its smallest doc_id. A document's
+   block that a smaller doc_id has is matched as a whole.
+2. Factor boundaries: where an anchor has several different blocks, a passage begins or ends
+   inside them. The phrases of these blocks' first documents are indexed one by one; a phrase
+   that a smaller doc_id has is matched.
+
+The parse is greedy: a factor starts at the first match and runs on while the next match follows
+in the same reference document; at its boundary the phrases that start inside it and end beyond it
+were checked on their own. So the factors cover exactly the phrases that a smaller doc_id has, and
+words under a factor are removed. Blocks and phrases are compared by 128 bits of hash.
+
+Shuffles hold hashes of blocks, and phrases of boundary blocks only; texts are shuffled only where
+a bitmap of bounded size says that their document is concerned. Frequent keys are aggregated
+before the shuffle, and joins on them are inner or left joins that Spark splits when skewed.
 
 Defined results: null text has no words; texts of fewer than WINDOW words lose nothing; repeats
 inside one document stay; rows with a null doc_id, or with the same doc_id, are no reference for
@@ -75,78 +80,99 @@ def phrases(texts, window: int, anchor: int, full: bool):
     return out + [rolling(h, window, b)[inside] for b in BASES] if full else out
 
 
-def parse(starts: np.ndarray, sources: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, words, reference document) from a document's matches."""
+def blocks(texts, window: int, anchor: int):
+    """Of all blocks of the texts: document, first start, number of phrases, anchor and content
+    hash; and the phrases themselves (block, start, two hashes)."""
+    own, start, least, one, two = phrases(texts, window, anchor, True)
+    if not len(own):
+        empty = np.zeros(0, np.int64)
+        return empty, empty, empty, empty.view(np.uint64), empty.view(np.uint64), (empty, start, one, two)
+    first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (least[1:] != least[:-1])]))
+    n = np.diff(np.concatenate([first, [len(own)]]))
+    block = np.repeat(np.arange(len(first)), n)
+    # phrases in order: each one's hash is weighted by its place
+    with np.errstate(over="ignore"):
+        place = (np.arange(len(own)) - first[block]).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        content = common.mix(np.add.reduceat(common.mix(two + place) * place, first) + n.astype(np.uint64))
+    return own[first], start[first], n, least[first], content, (block, start, one, two)
+
+
+def parse(starts: np.ndarray, sizes: np.ndarray, sources: np.ndarray, window: int) -> list[tuple[int, int, int]]:
+    """Greedy factors (start, words, reference document) from matches (first phrase, phrases, reference)."""
     order = np.argsort(starts, kind="stable")
-    starts, sources = starts[order], sources[order]
-    if not len(starts):
-        return []
-    cut = np.flatnonzero((np.diff(starts) != 1) | (np.diff(sources) != 0)) + 1
-    first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(starts)]]) - 1
-    return [(int(a), int(b - a + window), int(s)) for a, b, s in zip(starts[first], starts[last], sources[first])]
+    out: list[tuple[int, int, int]] = []
+    for a, n, s in zip(starts[order].tolist(), sizes[order].tolist(), sources[order].tolist()):
+        if out and out[-1][2] == s and a <= out[-1][0] + out[-1][1] - window + 1:
+            a0, words, _ = out[-1]
+            out[-1] = (a0, max(words, a + n - 1 + window - a0), s)
+        else:
+            out.append((a, n - 1 + window, s))
+    return out
 
 
 def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, check (CRC-32 of the text), starts and sources: a document's phrases that a smaller doc_id has."""
+    """doc_id, check (CRC-32 of the text) and m, an array of (start, n, source): matched phrases."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    texts = common.id_text(docs).where("doc_id is not null and text is not null")
-    size = window
+    texts = common.id_text(docs).where("doc_id is not null and text is not null").withColumn("check", F.crc32("text"))
 
-    def anchors(batches):
+    def cut_blocks(batches):
         for b in batches:
-            own, _, least = phrases(b["text"], size, anchor, False)
-            keep = np.flatnonzero(np.concatenate([[True], (least[1:] != least[:-1]) | (own[1:] != own[:-1])])) if len(own) else own
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(np.asarray(b["doc_id"])[own[keep]], pa.int64()), "anchor": pa.array(least[keep].view(np.int64))})
+            own, start, n, h, g, _ = blocks(b["text"], window, anchor)
+            at = pa.array(own)
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"].take(at), "check": b["check"].take(at), "h": pa.array(h.view(np.int64)), "g": pa.array(g.view(np.int64)), "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32())})
+
+    found = common.settled(spark, texts.mapInArrow(cut_blocks, "doc_id long, check long, h long, g long, start int, n int"), "blocks")
+    table = found.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    table = common.settled(spark, table, "references")
+    shared = table.where("first < last").select("h", "g", F.col("first").alias("source"))
+    whole = found.join(shared, ["h", "g"]).where("source < doc_id").select("doc_id", "check", "start", "n", "source")
+
+    several = table.groupBy("h").agg(F.count("*").alias("kinds"), F.min("first").alias("a"), F.max("last").alias("b")).where("kinds > 1 and a < b").select("h")
+    several = common.settled(spark, several, "boundaries")
+    wanted = table.join(several, "h").groupBy(F.col("first").alias("doc_id")).agg(F.collect_set("g").alias("wanted"))
+    wanted = common.settled(spark, wanted, "wanted")
 
-    def candidates(batches):
+    def cut_phrases(batches):
         for b in batches:
-            own, start, least, one, two = phrases(b["text"], size, anchor, True)
-            kept = b["anchors"]
-            flat = np.asarray(kept.flatten()).view(np.uint64)
-            lengths = np.asarray(kept.value_lengths().fill_null(0), dtype=np.int64)
-            # pairs (document, anchor): equal anchors get equal numbers
-            known, code = np.unique(flat, return_inverse=True)
+            own, _, _, _, g, (block, start, one, two) = blocks(b["text"], window, anchor)
+            lists = b["wanted"]
+            lengths = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
+            known, code = np.unique(np.asarray(lists.flatten()).view(np.uint64), return_inverse=True)
             pairs = np.sort(np.repeat(np.arange(len(lengths)), lengths) * (len(known) + 1) + code)
-            at = np.searchsorted(known, least)
+            at = np.searchsorted(known, g)
             at[at == len(known)] = 0
-            exists = known[at] == least if len(known) else np.zeros(len(least), bool)
             key = own * (len(known) + 1) + at
             spot = np.searchsorted(pairs, key)
             spot[spot == len(pairs)] = 0
-            hit = np.flatnonzero(exists & (pairs[spot] == key)) if len(pairs) else np.zeros(0, int)
-            rows = own[hit]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(np.asarray(b["doc_id"])[rows], pa.int64()), "check": pa.array(np.asarray(b["check"])[rows], pa.int64()),
-                "start": pa.array(start[hit], pa.int32()), "one": pa.array(one[hit].view(np.int64)), "two": pa.array(two[hit].view(np.int64)),
-            })
-
-    anchored = common.settled(spark, texts.mapInArrow(anchors, "doc_id long, anchor long"), "anchors")
-    shared = anchored.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    shared = common.settled(spark, shared, "shared")
-    wanted = anchored.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = common.settled(spark, wanted, "wanted")
-    checked = texts.withColumn("check", F.crc32("text"))
-    found = checked.join(wanted, "doc_id").mapInArrow(candidates, "doc_id long, check long, start int, one long, two long")
-    found = common.settled(spark, found, "phrases")
-    index = found.groupBy("one", "two").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
+            hit = (known[at] == g) & (pairs[spot] == key) if len(pairs) else np.zeros(len(g), bool)
+            keep = np.flatnonzero(hit[block])
+            rows = pa.array(own[block[keep]])
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"].take(rows), "check": b["check"].take(rows), "start": pa.array(start[keep], pa.int32()), "one": pa.array(one[keep].view(np.int64)), "two": pa.array(two[keep].view(np.int64))})
+
+    concerned = common.id_filter(wanted.select("doc_id"))(texts, True)
+    single = concerned.join(wanted, "doc_id").mapInArrow(cut_phrases, "doc_id long, check long, start int, one long, two long")
+    single = common.settled(spark, single, "phrases")
+    index = single.groupBy("one", "two").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
     index = common.settled(spark, index, "index")
-    known = found.join(index, ["one", "two"]).where("source < doc_id").select("doc_id", "check", "start", "source").distinct()
-    lists = known.groupBy("doc_id", "check").agg(F.collect_list(F.struct("start", "source")).alias("m"))
-    return common.settled(spark, lists.select("doc_id", "check", F.col("m.start").alias("starts"), F.col("m.source").alias("sources")), "matches")
+    at_ends = single.join(index, ["one", "two"]).where("source < doc_id").select("doc_id", "check", "start", F.lit(1).alias("n"), "source")
+    both = whole.unionByName(at_ends)
+    return common.settled(spark, both.groupBy("doc_id", "check").agg(F.collect_list(F.struct("start", "n", "source")).alias("m")), "matches")
 
 
 def with_matches(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """docs with the columns _starts and _sources (null: no match)."""
-    found = matches(docs, window, anchor).select(F.col("doc_id").alias("_id"), F.col("check").alias("_check"), F.col("starts").alias("_starts"), F.col("sources").alias("_sources"))
+    """docs with the column _m (null: no match). Documents without a match are not shuffled."""
+    found = matches(docs, window, anchor).select(F.col("doc_id").alias("_id"), F.col("check").alias("_check"), F.col("m").alias("_m"))
+    split = common.id_filter(found.select(F.col("_id").alias("doc_id")).distinct())
     same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.crc32(F.col("text").cast("string")) == F.col("_check"))
-    return docs.join(found, same, "left").drop("_id", "_check")
+    joined = split(docs, True).join(found, same, "left").drop("_id", "_check")
+    return split(docs, False).withColumn("_m", F.lit(None).cast(dict(found.dtypes)["_m"])).unionByName(joined)
 
 
-def cut(text, starts, sources, window: int) -> tuple[int, list, pa.Array]:
+def cut(text, m, window: int) -> tuple[int, list, pa.Array]:
     """A text's number of words, its factors, and the words that no factor covers."""
     _, words = common.split_words(pa.array([text], pa.large_string()))
-    factors = parse(starts.values.to_numpy(), sources.values.to_numpy(), window) if starts.is_valid else []
+    factors = parse(*(np.asarray(m.values.field(k)) for k in ("start", "n", "source")), window) if m.is_valid else []
     keep = np.ones(len(words), bool)
     for a, size, _ in factors:
         keep[a : a + size] = False
@@ -162,8 +188,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, digest: b
     def each(batches):
         for b in batches:
             out = []
-            for key, text, starts, sources in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["_starts"], b["_sources"]):
-                n, factors, kept = cut(text, starts, sources, window)
+            for key, text, m in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["_m"]):
+                n, factors, kept = cut(text, m, window)
                 joined = b" ".join(kept.cast(pa.large_binary()).to_pylist())
                 out.append((key, n, n - len(kept), hashlib.sha256(joined).hexdigest() if digest else joined.decode(), [{"start": a, "words": w, "source": s} for a, w, s in factors]))
             cols = list(zip(*out)) or [[]] * 5
@@ -182,10 +208,10 @@ def keep(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFra
 
     def each(batches):
         for b in batches:
-            hit = np.flatnonzero(np.asarray(b["_starts"].is_valid()))
+            hit = np.flatnonzero(np.asarray(b["_m"].is_valid()))
             texts, gone = b["text"].to_pylist(), set()
             for i in hit.tolist():
-                _, _, kept = cut(texts[i], b["_starts"][i], b["_sources"][i], window)
+                _, _, kept = cut(texts[i], b["_m"][i], window)
                 texts[i] = " ".join(kept.to_pylist())
                 if not len(kept):
                     gone.add(i)
