@@ -15,8 +15,10 @@ those of the empty string).
 
 from __future__ import annotations
 
+import array
 import base64
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from . import common
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 LONG = 512
 #: Different words of one recursive query, matches that a worker keeps, tokens of one decoding query, characters handled at once.
-WORDS, KEPT, TOKENS, CHARS = 50_000, 400_000, 1_000_000, 4_000_000
+WORDS, KEPT, TOKENS, CHARS = 50_000, 800_000, 1_000_000, 4_000_000
 
 CONTRACT = """
 WITH RECURSIVE s(w, pos, id, step) AS (
@@ -80,15 +82,17 @@ class Codec:
     def forget(self) -> None:
         self.code: dict[str, int] = {}
         self.texts: list[str] = []
-        self.ids: list[np.ndarray] = []
+        self.ids, self.ends = array.array("i"), array.array("q", [0])
 
-    def contract(self, words: list[bytes]) -> list[list[int]]:
+    def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the words and their lengths."""
         lengths = np.array(list(map(len, words)), np.int64)
         flat = np.frombuffer(b"".join(words), np.uint8)
         w = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.con.register("start", pa.table({"w": w, "pos": pos.astype(np.int32), "id": self.byte[flat]}))
-        return self.con.sql(CONTRACT).to_arrow_table()["ids"].to_pylist()
+        lists = self.con.sql(CONTRACT).to_arrow_table()["ids"].combine_chunks()
+        return lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
 
     def contract_long(self, word: bytes) -> list[int]:
         flat = self.byte[np.frombuffer(word, np.uint8)]
@@ -98,34 +102,47 @@ class Codec:
             self.con.execute("CREATE OR REPLACE TEMP TABLE long_word AS SELECT w.pos, coalesce(d.m, w.id) AS id FROM long_word w LEFT JOIN due d ON d.pos = w.pos WHERE w.pos NOT IN (SELECT nxt FROM due)")
         return [r[0] for r in self.con.execute("SELECT id FROM long_word ORDER BY pos").fetchall()]
 
+    def add(self, word: str, ids: list[int]) -> None:
+        self.code[word] = len(self.texts)
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        self.texts.append(" ".join(map(str, ids)))
+
     def learn(self, words: list[str]) -> None:
-        raw = [w.encode() for w in words]
-        out: list = [[self.ranks[b]] if b in self.ranks else None for b in raw]
-        todo = [i for i, x in enumerate(out) if x is None and len(raw[i]) <= LONG]
+        todo: list[tuple[str, bytes]] = []
+        for w in words:
+            raw = w.encode()
+            if raw in self.ranks:
+                self.add(w, [self.ranks[raw]])
+            elif len(raw) > LONG:
+                self.add(w, self.contract_long(raw))
+            else:
+                todo.append((w, raw))
         for i in range(0, len(todo), WORDS):
             some = todo[i : i + WORDS]
-            for k, ids in zip(some, self.contract([raw[k] for k in some])):
-                out[k] = ids
-        for i, x in enumerate(out):
-            ids = self.contract_long(raw[i]) if x is None else x
-            self.code[words[i]] = len(self.ids)
-            self.ids.append(np.array(ids, np.int32))
-            self.texts.append(" ".join(map(str, ids)))
+            flat, lengths = self.contract([raw for _, raw in some])
+            ids, at = flat.tolist(), 0
+            for (w, _), n in zip(some, lengths.tolist()):
+                self.add(w, ids[at : at + n])
+                at += n
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """Each text's ids, and the same in decimal, joined by one space."""
         if len(self.code) > KEPT:
             self.forget()
         matches = [self.find(t) for t in texts]
-        new = dict.fromkeys(w for m in matches for w in m if w not in self.code)
+        new = set().union(*matches).difference(self.code)
         if new:
-            self.learn(list(new))
-        out = []
-        code, ids, decimal = self.code, self.ids, self.texts
-        for m in matches:
-            codes = [code[w] for w in m]
-            out.append((np.concatenate([ids[c] for c in codes]) if codes else np.zeros(0, np.int32), " ".join([decimal[c] for c in codes])))
-        return out
+            self.learn(sorted(new))
+        code, decimal = self.code, self.texts
+        all_codes = [[code[w] for w in m] for m in matches]
+        counts = np.fromiter(map(len, all_codes), np.int64, len(all_codes))
+        codes = np.fromiter(itertools.chain.from_iterable(all_codes), np.int64, int(counts.sum()))
+        ends = np.array(self.ends, dtype=np.int64)
+        lengths = ends[codes + 1] - ends[codes]
+        flat = np.array(self.ids, dtype=np.int32)[common.gather(ends[codes], lengths)]
+        cuts = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
+        return [(flat[a:e], " ".join([decimal[c] for c in k])) for a, e, k in zip(cuts[:-1], cuts[1:], all_codes)]
 
     def decode(self, docs: list[np.ndarray]) -> list[bytes]:
         lengths = np.array(list(map(len, docs)), np.int64)
@@ -137,10 +154,15 @@ class Codec:
         for i in range(0, len(ids), TOKENS):
             self.con.register("tok", pa.table({"d": d[i : i + TOKENS], "p": np.arange(i, min(i + TOKENS, len(ids))), "id": ids[i : i + TOKENS]}))
             got = self.con.sql("SELECT d, list(b ORDER BY p) AS b FROM tok JOIN vocab USING (id) GROUP BY d").to_arrow_table()
-            parts = got["b"].combine_chunks()
-            cuts, values = np.asarray(parts.offsets), parts.flatten()
-            for k, a, e in zip(got["d"].to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist()):
-                out[k] += b"".join(values[a:e].to_pylist())
+            for chunk in got.to_batches():
+                lists = chunk["b"]
+                # the bytes of a list's neighbouring values are neighbours
+                values = lists.values.cast(pa.large_binary())
+                ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+                data = values.buffers()[2]
+                at = ends[np.asarray(lists.offsets)]
+                for k, a, e in zip(chunk["d"].to_pylist(), at[:-1].tolist(), at[1:].tolist()):
+                    out[k] += data[a:e].to_pybytes()
         return out
 
 

@@ -26,16 +26,18 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, STRIDE = 48, 24
-SAMPLE = 3000
+SAMPLE = 2500
 #: Windows of one sampled document that training sees, evenly spread.
-WINDOWS_PER_SAMPLE = 24
-WORD_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 17
+WINDOWS_PER_SAMPLE = 12
+WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 16
 GRAMS = (3, 4, 5)
 PRIOR = 2.0
 INPUTS, DENSE, HIDDEN = 5, 8, 8
 EPOCHS, BATCH, RATE, SEED = 14, 64, 0.01, 7
 #: Windows scored at once.
 BLOCK = 2048
+#: Different words whose n-grams are taken at once.
+WORDS = 20_000
 THRESHOLD = 0.3
 
 
@@ -87,20 +89,21 @@ def buckets(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 def features(distinct: pa.Array, words: np.ndarray, grams: np.ndarray) -> np.ndarray:
     """INPUTS numbers for each different word, and a row of zeros for padding."""
     out = np.zeros((len(distinct) + 1, INPUTS), np.float32)
-    if not len(distinct):
-        return out
-    word, lengths, gram, starts = buckets(distinct)
-    out[:-1, 0] = words[word]
-    out[:-1, 1] = np.minimum(lengths, 20) / 10 - 0.6
-    full = np.flatnonzero(np.diff(starts))
-    if len(full):
-        odds = grams[gram]
-        top = np.maximum.reduceat(odds, starts[full])
-        count = np.diff(starts)[full]
-        total = np.add.reduceat(odds, starts[full])
-        rest = np.where(odds == np.repeat(top, count), -9, odds)
-        second = np.maximum.reduceat(rest, starts[full])
-        out[full, 2], out[full, 3], out[full, 4] = top, np.where(second > -9, second, top), total / count
+    for i in range(0, len(distinct), WORDS):  # n-grams take much more room than words
+        some = distinct.slice(i, WORDS)
+        rows = out[i : i + len(some)]
+        word, lengths, gram, starts = buckets(some)
+        rows[:, 0] = words[word]
+        rows[:, 1] = np.minimum(lengths, 20) / 10 - 0.6
+        full = np.flatnonzero(np.diff(starts))
+        if len(full):
+            odds = grams[gram]
+            top = np.maximum.reduceat(odds, starts[full])
+            count = np.diff(starts)[full]
+            total = np.add.reduceat(odds, starts[full])
+            rest = np.where(odds == np.repeat(top, count), -9, odds)
+            second = np.maximum.reduceat(rest, starts[full])
+            rows[full, 2], rows[full, 3], rows[full, 4] = top, np.where(second > -9, second, top), total / count
     return out
 
 
