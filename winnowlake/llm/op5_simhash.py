@@ -37,9 +37,7 @@ def fingerprints_of(texts, shingle: int = SHINGLE) -> np.ndarray:
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    offsets, words = common.split_words(pc.ascii_lower(texts.cast(pa.large_string())))
+    offsets, words = common.split_words(common.lower_ascii(texts))
     out = np.zeros(len(offsets) - 1, np.uint64)
     if not len(words):
         return out
@@ -80,7 +78,7 @@ def distance(a: np.ndarray, b) -> np.ndarray:
     return np.bitwise_count(a ^ b).astype(np.int16)
 
 
-def vantage(fps: np.ndarray) -> tuple[int, int] | None:
+def vantage(fps: np.ndarray, radius: int = RADIUS) -> tuple[int, int] | None:
     """Of a few candidates the vantage point whose median distance parts fps best; None if none parts them."""
     best = None
     for v in fps[:: max(1, len(fps) // 5)][:5]:
@@ -89,7 +87,7 @@ def vantage(fps: np.ndarray) -> tuple[int, int] | None:
         for r in (m, m - 1):
             left = int((d <= r).sum())
             if 0 < left < len(fps):
-                near = int(((d > r - RADIUS) & (d <= r + RADIUS)).sum())
+                near = int(((d > r - radius) & (d <= r + radius)).sum())
                 cost = max(left, len(fps) - left) + near
                 if best is None or cost < best[0]:
                     best = (cost, int(v), r)
@@ -119,10 +117,10 @@ def branches(fps: np.ndarray, home: np.ndarray, v: int, r: int, radius: int) ->
     return left, right
 
 
-def route(tree: dict, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def route(tree: dict, fps: np.ndarray, radius: int, at_home: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(leaf, position in fps, at home) for every visit."""
     out = []
-    stack = [(tree, np.arange(len(fps)), np.ones(len(fps), bool))]
+    stack = [(tree, np.arange(len(fps)), np.full(len(fps), at_home))]
     while stack:
         node, at, home = stack.pop()
         if not len(at):
@@ -165,7 +163,7 @@ def link(fps: np.ndarray, home: np.ndarray, at: np.ndarray, sets: Sets, radius:
         n = int(own.sum())
         if not n or len(at) < 2:
             continue
-        split = vantage(fps[at[own]]) if n > CELL else None
+        split = vantage(fps[at[own]], radius) if n > CELL else None
         if split is None:
             mine, seen = at[own], 0
             while seen < len(at):  # in blocks, so that memory stays bounded
@@ -241,18 +239,192 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(common.settled(spark, whole, "components"), "fp")
 
 
-def keep(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One row of docs, with all its columns, for each component: the one of the least doc_id.
-    Rows with a null doc_id stay only if their component has no other doc_id."""
-    groups = near_duplicates(docs, radius, shingle)
-    first = common.settled(docs.sparkSession, groups.where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("_rows")), "first")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_first"))
-    kept = docs.join(first.select(F.col("doc_id").alias("_first"), "_rows"), same)
-    names = docs.columns
-    once = kept.where("_rows = 1").select(*names)
-    if first.where("_rows > 1").isEmpty():
-        return once
-    return once.unionByName(kept.where("_rows > 1").select(*names).dropDuplicates(["doc_id"]))
+#: Near copies: hash seeds of the word-set fingerprints, bits that may differ, and the length ratio of a band.
+SET_SEEDS, SET_RADIUS, BAND = (42, 43, 44), 4, 1.25
+
+
+def set_fingerprints_of(texts, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints over the different words of each text (lower-cased A-Z), and numbers of words."""
+    import xxhash
+
+    digest = xxhash.xxh64_intdigest
+    offsets, words = common.split_words(common.lower_ascii(texts))
+    n = np.diff(offsets)
+    out = np.zeros(len(n), np.uint64)
+    if not len(words):
+        return out, n
+    codes, distinct = common.coded_words(words)
+    h = np.array([digest(w, seed) for w in distinct.cast(pa.large_binary()).to_pylist()], "<u8")
+    step = 500  # documents whose bits are counted at once
+    for i in range(0, len(n), step):
+        doc = np.repeat(np.arange(len(n[i : i + step])), n[i : i + step])
+        pairs = np.unique(doc * len(distinct) + codes[offsets[i] : offsets[min(i + step, len(n))]])
+        own = pairs // len(distinct)
+        if not len(pairs):
+            continue
+        full, starts, count = np.unique(own, return_index=True, return_counts=True)
+        bits = np.unpackbits(h[pairs % len(distinct)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        out[i + full] = np.packbits((2 * ones > count[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
+    return out, n
+
+
+def set_prints(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
+    """doc_id, band, fps (one fingerprint a seed); rows without doc_id are left out."""
+    common.small_batches(docs.sparkSession)
+
+    def each(batches):
+        for b in batches:
+            fps, n = zip(*(set_fingerprints_of(b["text"], s) for s in seeds))
+            band = np.floor(np.log(n[0] + 1) / np.log(BAND)).astype(np.int32)
+            flat = np.stack(fps, 1).ravel().view(np.int64)
+            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "band": pa.array(band), "fps": pa.ListArray.from_arrays(pa.array(np.arange(len(band) + 1) * len(seeds), pa.int32()), pa.array(flat))})
+
+    return common.id_text(docs).where("doc_id is not null").mapInArrow(each, "doc_id long, band int, fps array<long>")
+
+
+def band_edges(classes: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) of documents whose classes (band, fp, first) are within radius, in one band or
+    in neighbouring ones: texts as alike as near copies differ in length by less than a band.
+    Band and tree are both pruned by distance: a length is a distance from the empty text."""
+    spark = classes.sparkSession
+    n = classes.count()
+    leaves = int(min(LEAVES, max(1, -(-n // (4 * SHARD)))))
+    sample = classes.orderBy(F.xxhash64("fp", "band"), "fp").limit(min(SAMPLE, leaves * 64)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    tree = grow(np.unique(sample), leaves)
+
+    def deal(batches):
+        for b in batches:
+            fps, band, first = np.asarray(b["fp"]).view(np.uint64), np.asarray(b["band"]), np.asarray(b["first"])
+            # at home in its own band; in the next one a query from the start
+            for step, at_home in ((0, True), (1, False)):
+                leaf, at, home = route(tree, fps, radius, at_home)
+                yield pa.RecordBatch.from_pydict({"band": pa.array(band[at] + step, pa.int32()), "leaf": pa.array(leaf, pa.int32()), "fp": pa.array(fps[at].view(np.int64)), "first": pa.array(first[at], pa.int64()), "home": pa.array(home)})
+
+    def search(t: pa.Table) -> pa.Table:
+        fps, home, first = t["fp"].to_numpy().view(np.uint64), t["home"].to_numpy(), t["first"].to_numpy()
+        order = np.argsort(first, kind="stable")
+        fps, home, first = fps[order], home[order], first[order]
+        sets = Sets(len(fps))
+        link(fps, home, np.arange(len(fps)), sets, radius)
+        root = sets.flat()
+        odd = np.flatnonzero(first[root] != first)
+        return pa.table({"a": first[odd], "b": first[root[odd]]})
+
+    kind = "band int, leaf int, fp long, first long, home boolean"
+    return classes.select("band", "fp", "first").mapInArrow(deal, kind).groupBy("band", "leaf").applyInArrow(search, "a long, b long")
+
+
+#: Words of a shingle, similarity of near copies, and candidates verified in one call on average.
+NEAR_SHINGLE, NEAR_SIMILARITY, VERIFIED = 5, 0.8, 2000
+
+
+def shingle_sets(texts, size: int = NEAR_SHINGLE) -> list[np.ndarray]:
+    """Hashes of the different shingles of each text (the whole sequence, if it is shorter)."""
+    from .op4_substring import BASES, rolling
+
+    offsets, words = common.split_words(common.lower_ascii(texts))
+    codes, distinct = common.coded_words(words)
+    h = common.word_hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
+    out = []
+    for a, e in zip(offsets[:-1], offsets[1:]):
+        out.append(np.unique(rolling(h[a:e], min(size, e - a), BASES[0])) if e > a else h[:0])
+    return out
+
+
+def verified(sets: list[np.ndarray], similarity: float = NEAR_SIMILARITY) -> np.ndarray:
+    """A root for each set: sets of one root are connected by pairs of at least that Jaccard
+    similarity. Each set is compared with all others until one component is left; those that hold
+    the most common shingles come first, so that a text and its many copies take one pass."""
+    n = len(sets)
+    parts = Sets(n)
+    sizes = np.array([len(x) for x in sets])
+    empty = np.flatnonzero(sizes == 0)
+    parts.join(empty[1:], np.repeat(empty[:1], max(len(empty) - 1, 0)))
+    full = np.flatnonzero(sizes)
+    if len(full) < 2:
+        return parts.flat()
+    known, ids = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)
+    starts = np.cumsum(sizes[full]) - sizes[full]
+    common_ = np.add.reduceat(np.bincount(ids)[ids], starts) / sizes[full]
+    for k in np.argsort(-common_, kind="stable"):
+        root = parts.flat()[full]
+        if (root == root[0]).all():
+            break
+        mark = np.zeros(len(known), bool)
+        mark[ids[starts[k] : starts[k] + sizes[full[k]]]] = True
+        both = np.add.reduceat(mark[ids], starts, dtype=np.int64)
+        near = np.flatnonzero(both >= similarity * (sizes[full[k]] + sizes[full] - both) - 1e-9)
+        parts.join(full[near], np.repeat(full[k], len(near)))
+    return parts.flat()
+
+
+def candidates(docs: DataFrame, radius: int, seeds: tuple[int, ...]) -> DataFrame:
+    """Edges (a, b) between documents whose word-set fingerprints are within radius for some seed."""
+    prints = common.settled(docs.sparkSession, set_prints(docs, seeds), "set-prints")
+    links = None
+    for i in range(len(seeds)):
+        one = prints.select("doc_id", "band", F.col("fps")[i].alias("fp"))
+        classes = common.settled(docs.sparkSession, one.groupBy("band", "fp").agg(F.min("doc_id").alias("first")), "set-classes")
+        copies = one.join(classes, ["band", "fp"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+        found = band_edges(classes, radius).unionByName(copies)
+        links = found if links is None else links.unionByName(found)
+    return links
+
+
+def near_copies(docs: DataFrame, radius: int = SET_RADIUS, seeds: tuple[int, ...] = SET_SEEDS) -> DataFrame:
+    """node, root: documents (doc_id) of a component of near copies and its least doc_id. Near
+    copies have five-word shingles of a Jaccard similarity of 0.8 or more.
+
+    A few changed words turn many shingles but few different words, so the word-set fingerprints
+    of near copies lie within a few bits, while those of other texts lie far apart. Each seed gives
+    an independent fingerprint; trees link what is near in one of them. The components of these
+    links are then verified by exact similarity. Equal texts are verified once; a component's
+    different texts meet in one task, where only linear memory is used.
+    """
+    spark = docs.sparkSession
+    grouped = common.settled(spark, components(candidates(docs, radius, seeds)), "candidates")
+    calls = max(1, grouped.count() // VERIFIED)
+    concerned = common.id_filter(grouped.select(F.col("node").alias("doc_id")))(common.id_text(docs), True)
+    texts = concerned.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id")
+    # of equal texts in a component the first stands for all
+    texts = texts.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    kinds = texts.groupBy("root", "digest").agg(F.min("doc_id").alias("first"))
+    kinds = common.settled(spark, kinds, "kinds")
+    alike = texts.select("root", "digest", "doc_id").join(kinds, ["root", "digest"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    several = kinds.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    chosen = kinds.join(several, "root").select(F.col("first").alias("doc_id"), "root")
+    rows = common.id_text(docs).join(common.settled(spark, chosen, "chosen"), "doc_id").dropDuplicates(["doc_id"])
+
+    def check(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("root", "ascending"), ("doc_id", "ascending")])
+        root, ids = t["root"].to_numpy(), t["doc_id"].to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], root[1:] != root[:-1], [True]]))
+        texts, a, b = t["text"].combine_chunks(), [], []
+        for i, e in zip(cuts[:-1], cuts[1:]):
+            to = verified(shingle_sets(texts[i:e]))
+            odd = np.flatnonzero(to != np.arange(e - i))
+            a.append(ids[i:e][odd])
+            b.append(ids[i:e][to[odd]])
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+    links = rows.withColumn("call", F.pmod(F.xxhash64("root"), F.lit(calls))).groupBy("call").applyInArrow(check, "a long, b long")
+    return components(links.unionByName(alike))
+
+
+def keep(docs: DataFrame, radius: int = SET_RADIUS, seeds: tuple[int, ...] = SET_SEEDS) -> DataFrame:
+    """One row of docs, with all its columns, for each component of near copies: that of the least
+    doc_id. Rows without doc_id stay; of repeated rows of one doc_id one stays."""
+    spark, names = docs.sparkSession, docs.columns
+    gone = common.settled(spark, near_copies(docs, radius, seeds).where("node <> root").select(F.col("node").alias("_gone")), "gone")
+    split = common.id_filter(gone.select(F.col("_gone").alias("doc_id")))
+    same = F.col("doc_id").cast("long") == F.col("_gone")
+    kept = split(docs, False).unionByName(split(docs, True).join(gone, same, "left_anti"))
+    repeated = common.settled(spark, docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice")), "repeated")
+    if repeated.isEmpty():
+        return kept
+    twice = F.col("doc_id") == F.col("_twice")
+    return kept.join(repeated, twice, "left_anti").unionByName(kept.join(repeated, twice, "left_semi").select(*names).dropDuplicates(["doc_id"]))
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
