@@ -7,6 +7,8 @@ A *word* is a maximal run of characters other than the six ASCII white-space cha
 from __future__ import annotations
 
 import array
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -126,6 +128,30 @@ def split_words(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, pa.Array
     return offsets, values
 
 
+#: Bytes of text that a worker handles at once (a longer text alone makes a part of its own).
+PART_BYTES = 2_000_000
+
+
+def parts(batches, column: str = "text"):
+    """Slices of Arrow batches with a bounded amount of text each; memory goes back at the end.
+
+    Workers outlive a stage, so what one leaves allocated would add to the next one's needs."""
+    for b in batches:
+        if column not in b.schema.names or not b.num_rows:
+            yield b
+            continue
+        total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b[column]), 0), dtype=np.int64))
+        first = 0
+        while first < b.num_rows:
+            before = int(total[first - 1]) if first else 0
+            end = max(first + 1, int(np.searchsorted(total, before + PART_BYTES, side="right")))
+            yield b.slice(first, end - first)
+            first = end
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def lower_ascii(texts: pa.Array | pa.ChunkedArray) -> pa.Array:
     """Texts with A-Z in lower case. They are copied first: Arrow 23's ascii_lower reads from the
     wrong place where the first string does not start at the buffer's start (as in a slice)."""

@@ -193,7 +193,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None =
 
     def each(batches):
         c = codec(path, pattern)
-        for b in batches:
+        for b in common.parts(batches):
             texts = [t or "" for t in b["text"].to_pylist()]
             for s in runs(list(map(len, texts)), CHARS):
                 ids = [x for x, _ in c.encode(texts[s])]
@@ -209,7 +209,7 @@ def decode(ids: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def each(batches):
         c = codec(path, pattern)
-        for b in batches:
+        for b in common.parts(batches):
             docs = [np.array(x or [], np.int32) for x in b["ids"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "decoded": pa.array(c.decode(docs), pa.binary())})
 
@@ -223,7 +223,7 @@ def round_trip(docs: DataFrame, vocabulary: str | None = None, pattern: str | No
 
     def each(batches):
         c = codec(path, pattern)
-        for b in batches:
+        for b in common.parts(batches):
             texts = [t or "" for t in b["text"].to_pylist()]
             for s in runs(list(map(len, texts)), CHARS):
                 coded = c.encode(texts[s])

@@ -117,7 +117,7 @@ def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     texts = common.id_text(docs).where("doc_id is not null and text is not null").withColumn("check", F.crc32("text"))
 
     def cut_blocks(batches):
-        for b in batches:
+        for b in common.parts(batches):
             own, start, n, h, g, _ = blocks(b["text"], window, anchor)
             at = pa.array(own)
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"].take(at), "check": b["check"].take(at), "h": pa.array(h.view(np.int64)), "g": pa.array(g.view(np.int64)), "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32())})
@@ -134,7 +134,7 @@ def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     wanted = common.settled(spark, wanted, "wanted")
 
     def cut_phrases(batches):
-        for b in batches:
+        for b in common.parts(batches):
             own, _, _, _, g, (block, start, one, two) = blocks(b["text"], window, anchor)
             lists = b["wanted"]
             lengths = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
@@ -186,7 +186,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, digest: b
     names = ["doc_id", "n_words", "n_removed", "kept", "factors"]
 
     def each(batches):
-        for b in batches:
+        for b in common.parts(batches):
             out = []
             for key, text, m in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["_m"]):
                 n, factors, kept = cut(text, m, window)
@@ -207,7 +207,7 @@ def keep(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFra
     at = names.index("text")
 
     def each(batches):
-        for b in batches:
+        for b in common.parts(batches):
             hit = np.flatnonzero(np.asarray(b["_m"].is_valid()))
             texts, gone = b["text"].to_pylist(), set()
             for i in hit.tolist():

@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     common.small_batches(docs.sparkSession)
 
     def each(batches):
-        for b in batches:
+        for b in common.parts(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "fp": pa.array(fingerprints_of(b["text"], shingle).view(np.int64))})
 
     return common.id_text(docs).mapInArrow(each, "doc_id long, fp long")
@@ -188,7 +188,7 @@ def edges(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     tree = grow(sample, leaves)
 
     def deal(batches):
-        for b in batches:
+        for b in common.parts(batches):
             fps = np.asarray(b["fp"]).view(np.uint64)
             leaf, at, home = route(tree, fps, radius)
             yield pa.RecordBatch.from_pydict({"leaf": pa.array(leaf, pa.int32()), "fp": pa.array(fps[at].view(np.int64)), "home": pa.array(home)})
@@ -274,7 +274,7 @@ def set_prints(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
     common.small_batches(docs.sparkSession)
 
     def each(batches):
-        for b in batches:
+        for b in common.parts(batches):
             fps, n = zip(*(set_fingerprints_of(b["text"], s) for s in seeds))
             band = np.floor(np.log(n[0] + 1) / np.log(BAND)).astype(np.int32)
             flat = np.stack(fps, 1).ravel().view(np.int64)
@@ -294,7 +294,7 @@ def band_edges(classes: DataFrame, radius: int) -> DataFrame:
     tree = grow(np.unique(sample), leaves)
 
     def deal(batches):
-        for b in batches:
+        for b in common.parts(batches):
             fps, band, first = np.asarray(b["fp"]).view(np.uint64), np.asarray(b["band"]), np.asarray(b["first"])
             # at home in its own band; in the next one a query from the start
             for step, at_home in ((0, True), (1, False)):

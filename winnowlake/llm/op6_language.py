@@ -77,7 +77,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[
 
     def count(batches):
         total = np.zeros((len(langs), BUCKETS), np.int64)
-        for b in batches:
+        for b in common.parts(batches):
             offsets, words = common.split_words(b["text"])
             if not len(words):
                 continue
@@ -154,7 +154,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     def each(batches):
         langs, logs = sent.value
         by_bucket = np.ascontiguousarray(logs.T)
-        for b in batches:
+        for b in common.parts(batches):
             n = b.num_rows
             offsets, words = common.split_words(b["text"])
             lang, score = ["und"] * n, np.zeros(n)

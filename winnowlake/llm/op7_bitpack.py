@@ -113,7 +113,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
 
         part = TaskContext.get().partitionId()
         ids, ends, keys = [], [0], []
-        for b in batches:
+        for b in common.parts(batches):
             some, cuts = common.token_ids(b["text"], path, end_id)
             ids.append(some.astype(np.uint16) if width <= 16 else some)
             ends.extend((cuts[1:] + ends[-1]).tolist())
@@ -141,7 +141,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     """Documents of the files: doc_id, start, n_tokens, ids_crc32 and the file that holds them."""
 
     def load(batches):
-        for b in batches:
+        for b in common.parts(batches):
             for name, base in zip(b["file"].to_pylist(), b["base"].to_pylist()):
                 store, place = open_fs(folder)
                 with store.open_input_file(f"{place}/{name}") as f:

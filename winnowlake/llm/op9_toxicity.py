@@ -295,7 +295,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     rows = common.settled(spark, common.id_text(docs).join(F.broadcast(chosen), "doc_id").where("text is not null"), "sample")
 
     def count(batches):
-        for b in batches:
+        for b in common.parts(batches):
             offsets, words = common.split_words(b["text"])
             codes, distinct = common.coded_words(words)
             if not len(codes):
@@ -332,7 +332,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     tables = [(a + b) / 2 for a, b in zip(*halves)]
 
     def cut(batches):
-        for b in batches:
+        for b in common.parts(batches):
             offsets, words = common.split_words(b["text"])
             codes, distinct = common.coded_words(words)
             doc, first, size = windows_of(offsets)
@@ -387,7 +387,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     run = scorer(docs.sparkSession, model)
 
     def each(batches):
-        for b in batches:
+        for b in common.parts(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "score": pa.array(run(b["text"]))})
 
     return common.id_text(docs).mapInArrow(each, "doc_id long, score double")
@@ -399,7 +399,7 @@ def keep(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFram
     run = scorer(docs.sparkSession, model)
 
     def each(batches):
-        for b in batches:
+        for b in common.parts(batches):
             yield b.filter(pa.array(run(b["text"]) < threshold))
 
     return docs.mapInArrow(each, docs.schema)
