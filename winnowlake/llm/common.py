@@ -67,8 +67,8 @@ def settled(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Bits of an id filter at least and at most; the most is 8 MB.
-FILTER_BITS = (1 << 18, 1 << 26)
+#: Bits of an id filter at least and at most; the most makes a table of 262,144 rows of two numbers.
+FILTER_BITS = (1 << 18, 1 << 24)
 
 
 def id_filter(ids: DataFrame, column: str = "doc_id"):
@@ -76,31 +76,20 @@ def id_filter(ids: DataFrame, column: str = "doc_id"):
 
     split(df, True) has all rows whose id is in ids, and a few more; split(df, False) has the
     rest, none of which is. The bitmap has eight bits or more for each id up to its largest size,
-    beyond which more rows pass as True: its size is bounded and no row is lost.
+    beyond which more rows pass as True: what is broadcast is bounded and no row is lost.
     """
-    spark = ids.sparkSession
     bits = FILTER_BITS[0]
     n = ids.count()
     while bits < FILTER_BITS[1] and bits < 8 * n:
         bits *= 2
-    slot = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
-    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(s, 64) AS int))")).alias("b"))
-    found = words.toArrow()
-    bitmap = np.zeros(bits // 64, np.int64)
-    if found.num_rows:
-        bitmap[found["w"].to_numpy()] = found["b"].to_numpy()
-    sent = spark.sparkContext.broadcast(bitmap.view(np.uint64))
+    slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    words = ids.select(slot(column).alias("s")).groupBy(F.shiftright("s", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(s, 64) AS int))")).alias("_b"))
+    words = settled(ids.sparkSession, words, "bitmap")
 
     def split(df: DataFrame, inside: bool) -> DataFrame:
-        names = df.columns
-
-        def each(batches):
-            for b in batches:
-                s = np.asarray(b["_slot"].fill_null(0)).astype(np.uint64)
-                hit = ((sent.value[s >> np.uint64(6)] >> (s & np.uint64(63))) & np.uint64(1)).astype(bool)
-                yield b.select(names).filter(pa.array(hit == inside))
-
-        return df.withColumn("_slot", F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))).mapInArrow(each, df.schema)
+        marked = df.withColumn("_slot", slot("doc_id")).join(F.broadcast(words), F.shiftright("_slot", 6) == F.col("_w"), "left")
+        hit = F.expr("coalesce(shiftright(_b, cast(pmod(_slot, 64) AS int)) & 1L, 0L) = 1L")
+        return marked.where(hit if inside else ~hit).select(*df.columns)
 
     return split
 
@@ -147,6 +136,11 @@ def parts(batches, column: str = "text"):
             end = max(first + 1, int(np.searchsorted(total, before + PART_BYTES, side="right")))
             yield b.slice(first, end - first)
             first = end
+    release()
+
+
+def release() -> None:
+    """Give memory that is no longer used back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has it
         ctypes.CDLL(None).malloc_trim(0)

@@ -32,31 +32,31 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class BM25:
-    """Inverted index of one shard: postings by term, weights stored with them."""
+    """Inverted index of one shard: postings by term with their weights, and each document's postings."""
 
     def __init__(self, offsets: np.ndarray, codes: np.ndarray, n_terms: int):
         n = len(offsets) - 1
         lengths = np.diff(offsets)
-        doc = np.repeat(np.arange(n), lengths)
-        pairs, tf = np.unique(codes * max(n, 1) + doc, return_counts=True)
-        self.term, self.doc = pairs // max(n, 1), pairs % max(n, 1)
-        self.starts = np.searchsorted(self.term, np.arange(n_terms + 1))
-        df = np.diff(self.starts)
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        pairs, tf = np.unique(codes * max(n, 1) + np.repeat(np.arange(n), lengths), return_counts=True)
+        term, self.doc = (pairs // max(n, 1)).astype(np.int32), (pairs % max(n, 1)).astype(np.int32)
+        del pairs
+        self.starts = np.searchsorted(term, np.arange(n_terms + 1))
+        self.df = np.diff(self.starts)
+        idf = np.log(1 + (n - self.df + 0.5) / (self.df + 0.5))
         norm = K1 * (1 - BETA + BETA * lengths / max(lengths.mean() if n else 1, 1))
-        self.weight = idf[self.term] * tf * (K1 + 1) / (tf + norm[self.doc])
-        # a term of one document finds no neighbour
-        useful = np.flatnonzero(df[self.term] > 1)
-        best = useful[np.lexsort((self.term[useful], -self.weight[useful], self.doc[useful]))]
-        self.best, self.n = best, n
-        self.first = np.searchsorted(self.doc[best], np.arange(n + 1))
+        self.weight = (idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])).astype(np.float32)
+        self.term, self.n = term, n
+        self.by_doc = np.argsort(self.doc, kind="stable").astype(np.int32)
+        self.first = np.searchsorted(self.doc[self.by_doc], np.arange(n + 1))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a query term with seed, best first."""
-        terms = self.term[self.best[self.first[seed] : min(self.first[seed] + QUERY_TERMS, self.first[seed + 1])]]
+        own = self.by_doc[self.first[seed] : self.first[seed + 1]]
+        own = own[self.df[self.term[own]] > 1]  # a term of one document finds no neighbour
+        terms = self.term[own[np.argsort(-self.weight[own], kind="stable")[:QUERY_TERMS]]]
         if not len(terms):
             return terms
-        at = common.gather(self.starts[terms], self.starts[terms + 1] - self.starts[terms])
+        at = common.gather(self.starts[terms], self.df[terms])
         score = np.bincount(self.doc[at], self.weight[at], self.n)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")[:ANSWERS]]
@@ -118,13 +118,17 @@ def pack(docs: DataFrame, window: int = WINDOW, docs_per_shard: int = DOCS_PER_S
         number = t["shard"][0].as_py()
         offsets, words = common.split_words(t["text"])
         codes, distinct = common.coded_words(words)
+        del words
+        index = BM25(offsets, codes, len(distinct))
+        del codes, distinct
+        common.release()
         ids, ends = [], [0]
-        for i in range(0, t.num_rows, common.BATCH_ROWS):
-            some, cuts = common.token_ids(t["text"][i : i + common.BATCH_ROWS], path, end_id)
+        for b in common.parts(t.select(["text"]).combine_chunks().to_batches(max_chunksize=common.BATCH_ROWS)):
+            some, cuts = common.token_ids(b["text"], path, end_id)
             ids.append(some)
             ends.extend((cuts[1:] + ends[-1]).tolist())
         ids, ends = np.concatenate(ids), np.asarray(ends)
-        pieces = plan(np.diff(ends), BM25(offsets, codes, len(distinct)), window)
+        pieces = plan(np.diff(ends), index, window)
         out = [(keys[d], s, n, common.crc(ids[ends[d] + s : ends[d] + s + n]), int(ends[d + 1] - ends[d]), (number << 32) + q, o, number, keys[seed]) for d, s, n, q, o, seed in pieces]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.table({k: pa.array([r[i] for r in out], pa.int64()) for i, k in enumerate(names)})

@@ -308,6 +308,7 @@ def band_edges(classes: DataFrame, radius: int) -> DataFrame:
         sets = Sets(len(fps))
         link(fps, home, np.arange(len(fps)), sets, radius)
         root = sets.flat()
+        common.release()
         odd = np.flatnonzero(first[root] != first)
         return pa.table({"a": first[odd], "b": first[root[odd]]})
 
