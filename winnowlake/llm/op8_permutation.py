@@ -5,7 +5,8 @@ order; it is posted in the inverted file of each of its first POSTED pivots. A q
 files of its own first PROBED pivots, ranks the vectors there by Spearman's footrule between the
 two orders (a pivot beyond the kept prefix counts as the place after it), and reranks the best
 by the exact distance. The number of pivots grows with the root of the number of vectors, up to
-MAX_PIVOTS, so a query reads about as many postings as there are pivots. A long file is cut into
+MAX_PIVOTS; beyond that a query reads a fixed share of the postings, which keeps the recall that
+was measured there. A long file is cut into
 sections of bounded length by a hash; a query is sent to each section, and every section
 reranks its own best, so that long files lose nothing.
 
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 from . import common
 
 K = 10
-MIN_PIVOTS, MAX_PIVOTS = 16, 4096
-PREFIX, POSTED, PROBED = 16, 6, 6
-#: Vectors that a query reranks in a section; vectors of a section on average; query vectors handled at once.
-RERANK, SECTION, QUERIES = 400, 4096, 256
+MIN_PIVOTS, MAX_PIVOTS = 16, 512
+PREFIX, POSTED, PROBED = 32, 16, 24
+#: Share of a section that a query reranks (K at least); vectors of a section on average; query vectors handled at once.
+RERANK, SECTION, QUERIES = 0.5, 4096, 64
 
 
 def clean(vectors: DataFrame) -> DataFrame:
@@ -91,7 +92,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     m = int(min(MAX_PIVOTS, n, max(MIN_PIVOTS, 2 * math.isqrt(n))))
     rows = index.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(m).collect()
     pivots = spark.sparkContext.broadcast(np.array([r["embedding"] for r in rows], float))
-    sections = max(1, math.ceil(n * POSTED / m / SECTION))
 
     def posted(most: int):
         def each(frames):
@@ -106,7 +106,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
     kind = f"vec_id long, embedding {dict(index.dtypes)['embedding']}, order array<int>, pivot array<int>"
     sent = index.select("vec_id", "embedding")
-    posts = common.settled(spark, sent.mapInPandas(posted(POSTED), kind).withColumn("pivot", F.explode("pivot")), "posts")
+    posts = common.settled(spark, sent.mapInPandas(posted(POSTED), kind), "posts").withColumn("pivot", F.explode("pivot"))
     sizes = posts.groupBy("pivot").agg(F.count("*").alias("n")).select("pivot", F.greatest(F.lit(1), F.ceil(F.col("n") / SECTION)).cast("int").alias("sections"))
     sizes = F.broadcast(sizes)  # a row a pivot: MAX_PIVOTS at most
     cut = posts.join(sizes, "pivot").withColumn("section", F.pmod(F.xxhash64("vec_id"), F.col("sections")).cast("int"))
@@ -128,7 +128,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
             some = left.iloc[i : i + QUERIES]
             q = np.array(some["embedding"].tolist(), float)
             far = footrule(np.array(some["order"].tolist()), orders, len(pivots.value))
-            most = min(RERANK, len(ids))
+            most = min(max(k + 1, math.ceil(RERANK * len(ids))), len(ids))
             near = np.argpartition(far, most - 1, axis=1)[:, :most] if most < len(ids) else np.broadcast_to(np.arange(len(ids)), far.shape)
             for name, vector, at in zip(some["vec_id"].to_numpy(), q, near):
                 d = np.sqrt(((x[at] - vector) ** 2).sum(1))

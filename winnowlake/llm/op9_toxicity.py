@@ -34,6 +34,8 @@ GRAMS = (3, 4, 5)
 PRIOR = 2.0
 INPUTS, DENSE, HIDDEN = 5, 8, 8
 EPOCHS, BATCH, RATE, SEED = 14, 64, 0.01, 7
+#: Small samples take more epochs, until there are so many steps.
+LEAST_STEPS, MOST_EPOCHS = 1300, 120
 #: Windows scored at once.
 BLOCK = 2048
 #: Different words whose n-grams are taken at once.
@@ -232,7 +234,8 @@ def train(rows: np.ndarray, codes: np.ndarray, first: np.ndarray, size: np.ndarr
     m, v, step = {}, {}, 0
     starts = np.searchsorted(bag, np.arange(len(label) + 1))
     strength = None
-    for epoch in range(EPOCHS):
+    epochs = max(EPOCHS, min(MOST_EPOCHS, -(-LEAST_STEPS * BATCH // (len(label) + int((label == 0).sum()) // 2))))
+    for epoch in range(epochs):
         if epoch % 3 == 0:
             if epoch == 0:  # before the network knows anything: the window of the highest inputs
                 top = np.maximum(rows[codes, 0], rows[codes, 2]) if len(codes) else np.zeros(0)
@@ -252,7 +255,7 @@ def train(rows: np.ndarray, codes: np.ndarray, first: np.ndarray, size: np.ndarr
             known, local = np.unique(at, return_inverse=True)
             g = net.gradient(rows[known], local.reshape(at.shape), mask, want[k])
             step += 1
-            rate = RATE * (0.5 if epoch > EPOCHS // 2 else 1)
+            rate = RATE * (0.5 if epoch > epochs // 2 else 1)
             for name, x in g.items():
                 m[name] = 0.9 * m.get(name, 0) + 0.1 * x
                 v[name] = 0.999 * v.get(name, 0) + 0.001 * x * x
