@@ -84,7 +84,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         out = rbo.with_mean(rbo.compare(side(a.file1), side(a.file2), a.min_size))
         text = out.select(F.coalesce("line_no", F.lit((1 << 62))).alias("n"), F.when(F.col("rbo") == -1, "-1").otherwise(F.format_string("%.6g", "rbo")).alias("line"))
         text.repartitionByRange("n").sortWithinPartitions("n").select("line").write.mode("overwrite").text(a.output_filename)
-    if a.verbose:
+    if getattr(a, "verbose", 0):
         print(f"{a.command}: {(time.time() - began) * 1000:.0f} ms", file=sys.stderr)
     return 0
 
