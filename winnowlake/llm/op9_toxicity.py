@@ -31,7 +31,8 @@ SAMPLE = 2500
 WINDOWS_PER_SAMPLE = 12
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 16
 GRAMS = (3, 4, 5)
-PRIOR = 2.0
+#: Documents that the prior counts as, spread over both classes by their size: chance hits of the rarer class weigh little.
+PRIOR = 12.0
 INPUTS, DENSE, HIDDEN = 5, 8, 8
 EPOCHS, BATCH, RATE, SEED = 14, 64, 0.01, 7
 #: Small samples take more epochs, until there are so many steps.
@@ -325,10 +326,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         out, seen = np.zeros(size), np.zeros(size, bool)
         for label, sign in ((1, 1), (0, -1)):
             part = got[(got["half"] == half) & (got["kind"] == kind) & (got["toxic"] == label)]
-            n = np.full(size, PRIOR)
-            n[part["g"].to_numpy()] += part["n"].to_numpy()
+            share_of = np.full(size, PRIOR / (docs_of[half, 0] + docs_of[half, 1]))
+            share_of[part["g"].to_numpy()] += part["n"].to_numpy() / docs_of[half, label]
             seen[part["g"].to_numpy()] = True
-            out += sign * (np.log(n) - np.log(docs_of[half, label] + 2 * PRIOR))
+            out += sign * np.log(share_of)
         return np.where(seen, out, 0).astype(np.float32)  # a bucket that neither class shows says nothing
 
     halves = [[odds(h, kind, size) for kind, size in ((0, WORD_BUCKETS), (1, GRAM_BUCKETS))] for h in (0, 1)]
