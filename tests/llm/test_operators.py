@@ -212,6 +212,50 @@ def test_near_copies(spark, documents):
     assert sorted(r.doc_id for r in op5_simhash.keep(df).collect()) == [5, 7]
 
 
+def brute_near(rows):
+    """Least doc_id of each document's component, by Jaccard of five-word shingles."""
+    sets = {}
+    for k, t in rows:
+        w = WORD.findall((t or "").lower())
+        sets[k] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+    up = {k: k for k in sets}
+
+    def root(k):
+        return k if up[k] == k else root(up[k])
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    return {k: root(k) for k in sets}
+
+
+def test_near_copies_equal_brute_force(spark):
+    """Truncated, extended and edited copies, down to the threshold, of short and long texts with a common passage."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: [f"w{x}" for x in np.minimum(rng.zipf(1.2, n), 50_000)]
+    license, rows = draw(60), []
+    for n in (5, 6, 8, 12, 30, 100, 100, 300, 700, 1500):
+        text = draw(n) + license * int(rng.integers(0, 2))
+        m = len(text)
+        for cut in (0.05, 0.1, 0.15, 0.18, 0.19, 0.2, 0.22):
+            k = int(m * cut)
+            rows += [text[: m - k], text[k:], text + draw(k), draw(k) + text]
+        for changes in (1, 2, m // 50):
+            copy = list(text)
+            for i in rng.integers(0, m, changes):
+                copy[i] = "changed"
+            rows.append(copy)
+        rows.append(text)
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    want = brute_near(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.node: r.root for r in op5_simhash.near_copies(df).collect()}
+    assert {k: got.get(k, k) for k in want} == want and len(set(want.values())) > 10
+    assert sorted(r.doc_id for r in op5_simhash.keep(df).collect()) == sorted(set(want.values()))
+
+
 def test_language(spark, sf, odd):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     got = op6_language.op6_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")

@@ -239,85 +239,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     return prints.join(common.settled(spark, whole, "components"), "fp")
 
 
-#: Near copies: hash seeds of the word-set fingerprints, bits that may differ, and the length ratio of a band.
-SET_SEEDS, SET_RADIUS, BAND = (42, 43, 44), 4, 1.25
-
-
-def set_fingerprints_of(texts, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints over the different words of each text (lower-cased A-Z), and numbers of words."""
-    import xxhash
-
-    digest = xxhash.xxh64_intdigest
-    offsets, words = common.split_words(common.lower_ascii(texts))
-    n = np.diff(offsets)
-    out = np.zeros(len(n), np.uint64)
-    if not len(words):
-        return out, n
-    codes, distinct = common.coded_words(words)
-    h = np.array([digest(w, seed) for w in distinct.cast(pa.large_binary()).to_pylist()], "<u8")
-    step = 500  # documents whose bits are counted at once
-    for i in range(0, len(n), step):
-        doc = np.repeat(np.arange(len(n[i : i + step])), n[i : i + step])
-        pairs = np.unique(doc * len(distinct) + codes[offsets[i] : offsets[min(i + step, len(n))]])
-        own = pairs // len(distinct)
-        if not len(pairs):
-            continue
-        full, starts, count = np.unique(own, return_index=True, return_counts=True)
-        bits = np.unpackbits(h[pairs % len(distinct)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[i + full] = np.packbits((2 * ones > count[:, None]).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
-    return out, n
-
-
-def set_prints(docs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
-    """doc_id, band, fps (one fingerprint a seed); rows without doc_id are left out."""
-    common.small_batches(docs.sparkSession)
-
-    def each(batches):
-        for b in common.parts(batches):
-            fps, n = zip(*(set_fingerprints_of(b["text"], s) for s in seeds))
-            band = np.floor(np.log(n[0] + 1) / np.log(BAND)).astype(np.int32)
-            flat = np.stack(fps, 1).ravel().view(np.int64)
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "band": pa.array(band), "fps": pa.ListArray.from_arrays(pa.array(np.arange(len(band) + 1) * len(seeds), pa.int32()), pa.array(flat))})
-
-    return common.id_text(docs).where("doc_id is not null").mapInArrow(each, "doc_id long, band int, fps array<long>")
-
-
-def band_edges(classes: DataFrame, radius: int) -> DataFrame:
-    """Edges (a, b) of documents whose classes (band, fp, first) are within radius, in one band or
-    in neighbouring ones: texts as alike as near copies differ in length by less than a band.
-    Band and tree are both pruned by distance: a length is a distance from the empty text."""
-    spark = classes.sparkSession
-    n = classes.count()
-    leaves = int(min(LEAVES, max(1, -(-n // (4 * SHARD)))))
-    sample = classes.orderBy(F.xxhash64("fp", "band"), "fp").limit(min(SAMPLE, leaves * 64)).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = grow(np.unique(sample), leaves)
-
-    def deal(batches):
-        for b in common.parts(batches):
-            fps, band, first = np.asarray(b["fp"]).view(np.uint64), np.asarray(b["band"]), np.asarray(b["first"])
-            # at home in its own band; in the next one a query from the start
-            for step, at_home in ((0, True), (1, False)):
-                leaf, at, home = route(tree, fps, radius, at_home)
-                yield pa.RecordBatch.from_pydict({"band": pa.array(band[at] + step, pa.int32()), "leaf": pa.array(leaf, pa.int32()), "fp": pa.array(fps[at].view(np.int64)), "first": pa.array(first[at], pa.int64()), "home": pa.array(home)})
-
-    def search(t: pa.Table) -> pa.Table:
-        fps, home, first = t["fp"].to_numpy().view(np.uint64), t["home"].to_numpy(), t["first"].to_numpy()
-        order = np.argsort(first, kind="stable")
-        fps, home, first = fps[order], home[order], first[order]
-        sets = Sets(len(fps))
-        link(fps, home, np.arange(len(fps)), sets, radius)
-        root = sets.flat()
-        common.release()
-        odd = np.flatnonzero(first[root] != first)
-        return pa.table({"a": first[odd], "b": first[root[odd]]})
-
-    kind = "band int, leaf int, fp long, first long, home boolean"
-    return classes.select("band", "fp", "first").mapInArrow(deal, kind).groupBy("band", "leaf").applyInArrow(search, "a long, b long")
-
-
 #: Words of a shingle, similarity of near copies, and candidates verified in one call on average.
 NEAR_SHINGLE, NEAR_SIMILARITY, VERIFIED = 5, 0.8, 2000
+#: Signatures compared in one call on average. Rows whose shingles are counted for their order, the count from which one is hot, and hot ones at most.
+COMPARED, COUNTED, HOT_AT, HOT_MOST = 50_000, 8192, 3, 65_536
 
 
 def shingle_sets(texts, size: int = NEAR_SHINGLE) -> list[np.ndarray]:
@@ -360,42 +285,116 @@ def verified(sets: list[np.ndarray], similarity: float = NEAR_SIMILARITY) -> np.
     return parts.flat()
 
 
-def candidates(docs: DataFrame, radius: int, seeds: tuple[int, ...]) -> DataFrame:
-    """Edges (a, b) between documents whose word-set fingerprints are within radius for some seed."""
-    prints = common.settled(docs.sparkSession, set_prints(docs, seeds), "set-prints")
-    links = None
-    for i in range(len(seeds)):
-        one = prints.select("doc_id", "band", F.col("fps")[i].alias("fp"))
-        classes = common.settled(docs.sparkSession, one.groupBy("band", "fp").agg(F.min("doc_id").alias("first")), "set-classes")
-        copies = one.join(classes, ["band", "fp"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-        found = band_edges(classes, radius).unionByName(copies)
-        links = found if links is None else links.unionByName(found)
-    return links
-
-
-def near_copies(docs: DataFrame, radius: int = SET_RADIUS, seeds: tuple[int, ...] = SET_SEEDS) -> DataFrame:
-    """node, root: documents (doc_id) of a component of near copies and its least doc_id. Near
-    copies have five-word shingles of a Jaccard similarity of 0.8 or more.
-
-    A few changed words turn many shingles but few different words, so the word-set fingerprints
-    of near copies lie within a few bits, while those of other texts lie far apart. Each seed gives
-    an independent fingerprint; trees link what is near in one of them. The components of these
-    links are then verified by exact similarity. Equal texts are verified once; a component's
-    different texts meet in one task, where only linear memory is used.
+def batch_shingles(texts, size: int = NEAR_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of the shingles of all texts, repeats included, as in shingle_sets."""
+    from .op4_substring import BASES, rolling
+
+    offsets, words = common.split_words(common.lower_ascii(texts))
+    codes, distinct = common.coded_words(words)
+    h = common.word_hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
+    n = np.diff(offsets)
+    own = np.repeat(np.arange(len(n)), n)
+    runs = rolling(h, size, BASES[0])
+    inside = own[: len(runs)] == own[len(own) - len(runs) :]
+    short = np.flatnonzero((n > 0) & (n < size))
+    whole = [rolling(h[offsets[i] : offsets[i + 1]], int(n[i]), BASES[0]) for i in short]
+    return np.concatenate([own[: len(runs)][inside], short]), np.concatenate([runs[inside], *whole])
+
+
+def signatures(texts, hot: np.ndarray, counts: np.ndarray, similarity: float = NEAR_SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and signature; texts of that similarity share one or more.
+
+    The different shingles of a text stand in one order for all texts: those counted as hot last.
+    Of the n - 1 pairs of neighbours in a text of n, a shingle that only it has breaks two and one
+    that only the other text has breaks one, so similar texts share all but 2 * (1 - similarity)
+    * n pairs (rounded down) at least. One more than that from the front of either text's pairs,
+    in the same order, then have one in common. The digest of a whole set serves sets without pairs.
+    """
+    own, h = batch_shingles(texts)
+    heat = np.zeros(len(h), np.int64)
+    if len(hot):
+        at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+        heat = np.where(hot[at] == h, counts[at], 0)
+    order = np.lexsort((h, heat, own))
+    own, h = own[order], h[order]
+    if len(h):
+        new = np.concatenate([[True], (own[1:] != own[:-1]) | (h[1:] != h[:-1])])
+        own, h = own[new], h[new]
+    n = np.bincount(own, minlength=len(texts))
+    starts = np.cumsum(n) - n
+    digest = np.zeros(len(n), np.uint64)
+    pairs = np.minimum(n - 1, np.floor(2 * (1 - similarity) * n + 1e-9).astype(np.int64) + 1).clip(0)
+    first = common.gather(starts, pairs)
+    with np.errstate(over="ignore"):
+        np.add.at(digest, own, common.mix(h))
+        pair = common.mix(common.mix(h[first]) * np.uint64(3) + h[first + 1]) if len(first) else h[:0]
+        digest = common.mix(digest + n.astype(np.uint64))
+    return np.concatenate([np.repeat(np.arange(len(n)), pairs), np.arange(len(n))]), np.concatenate([pair, digest])
+
+
+def text_id(column: str = "text"):
+    """What stands for a text: equal texts have one, null is the empty text."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def hot_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found often among a bounded number of different texts, and how often. They only
+    decide the order, of which the result does not depend."""
+    share = min(1.0, COUNTED / max(n, 1))
+    some = texts.where(F.pmod(F.xxhash64("text_id"), F.lit(1 << 20)) < int(share * (1 << 20))).dropDuplicates(["text_id"])
+
+    def each(batches):
+        for b in common.parts(batches):
+            own, h = batch_shingles(b["text"])
+            pairs = np.unique(np.stack([own.astype(np.uint64), h], 1), axis=0)
+            yield pa.RecordBatch.from_pydict({"h": pa.array(pairs[:, 1].view(np.int64))})
+
+    found = some.mapInArrow(each, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_AT)
+    found = found.orderBy(F.desc("n"), "h").limit(HOT_MOST).toPandas()
+    hot, counts = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(hot)
+    return hot[order], counts[order]
+
+
+def candidates(texts: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all texts (text_id, text) which share a signature."""
+    size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    hot, counts = hot_shingles(texts, size["n"])
+    calls = max(1, (size["bytes"] or 0) // (15 * COMPARED))  # a signature for about 15 bytes
+
+    def each(batches):
+        for b in common.parts(batches):
+            own, found = signatures(b["text"], hot, counts)
+            yield pa.RecordBatch.from_pydict({"signature": pa.array(found.view(np.int64)), "node": b["text_id"].take(pa.array(own))})
+
+    def share(t: pa.Table) -> pa.Table:
+        found, node = t["signature"].to_numpy(), t["node"].to_numpy()
+        order = np.lexsort((node, found))
+        found, node = found[order], node[order]
+        new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+        first = np.repeat(node[new], np.diff(np.concatenate([new, [len(node)]])))
+        pairs = np.unique(np.stack([node, first], 1)[node != first], axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+    rows = texts.select("text_id", "text").mapInArrow(each, "signature long, node long")
+    return rows.withColumn("call", F.pmod(F.xxhash64("signature"), F.lit(calls))).groupBy("call").applyInArrow(share, "a long, b long")
+
+
+def near_texts(docs: DataFrame) -> DataFrame:
+    """node, root: different texts (text_id) of a component of near copies and its least text_id.
+    Near copies have five-word shingles of a Jaccard similarity of 0.8 or more.
+
+    Texts that share a signature are candidates, which no near copies escape. The components of
+    candidates are then verified by exact similarity; a component's different texts meet in one
+    task, where only linear memory is used.
     """
     spark = docs.sparkSession
-    grouped = common.settled(spark, components(candidates(docs, radius, seeds)), "candidates")
+    common.small_batches(spark)
+    texts = common.id_text(docs).select(text_id().alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
+    grouped = common.settled(spark, components(candidates(texts)), "candidates")
     calls = max(1, grouped.count() // VERIFIED)
-    concerned = common.id_filter(grouped.select(F.col("node").alias("doc_id")))(common.id_text(docs), True)
-    texts = concerned.join(grouped.withColumnRenamed("node", "doc_id"), "doc_id")
-    # of equal texts in a component the first stands for all
-    texts = texts.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    kinds = texts.groupBy("root", "digest").agg(F.min("doc_id").alias("first"))
-    kinds = common.settled(spark, kinds, "kinds")
-    alike = texts.select("root", "digest", "doc_id").join(kinds, ["root", "digest"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    several = kinds.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    chosen = kinds.join(several, "root").select(F.col("first").alias("doc_id"), "root")
-    rows = common.id_text(docs).join(common.settled(spark, chosen, "chosen"), "doc_id").dropDuplicates(["doc_id"])
+    concerned = common.id_filter(grouped.select(F.col("node").alias("doc_id")))(texts.withColumnRenamed("text_id", "doc_id"), True)
+    rows = concerned.dropDuplicates(["doc_id"]).join(grouped.withColumnRenamed("node", "doc_id"), "doc_id")
 
     def check(t: pa.Table) -> pa.Table:
         t = t.sort_by([("root", "ascending"), ("doc_id", "ascending")])
@@ -410,14 +409,27 @@ def near_copies(docs: DataFrame, radius: int = SET_RADIUS, seeds: tuple[int, ...
         return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
 
     links = rows.withColumn("call", F.pmod(F.xxhash64("root"), F.lit(calls))).groupBy("call").applyInArrow(check, "a long, b long")
-    return components(links.unionByName(alike))
+    return components(links)
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """node, root: documents (doc_id) of a component of near copies and its least doc_id; rows
+    without doc_id are left out."""
+    spark = docs.sparkSession
+    rows = common.id_text(docs).where("doc_id is not null").select(F.col("doc_id").alias("node"), text_id().alias("text_id"))
+    alike = common.settled(spark, near_texts(docs.where("doc_id is not null")).withColumnRenamed("node", "text_id"), "alike")
+    firsts = rows.groupBy("text_id").agg(F.min("node").alias("first"), F.count("*").alias("n"))
+    firsts = firsts.join(alike, "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
+    firsts = common.settled(spark, firsts, "firsts")
+    least = firsts.groupBy("root").agg(F.min("first").alias("least"), F.sum("n").alias("n")).where("n > 1")
+    return rows.join(firsts.select("text_id", "root").join(least.select("root", "least"), "root"), "text_id").select("node", F.col("least").alias("root"))
 
 
-def keep(docs: DataFrame, radius: int = SET_RADIUS, seeds: tuple[int, ...] = SET_SEEDS) -> DataFrame:
+def keep(docs: DataFrame) -> DataFrame:
     """One row of docs, with all its columns, for each component of near copies: that of the least
     doc_id. Rows without doc_id stay; of repeated rows of one doc_id one stays."""
     spark, names = docs.sparkSession, docs.columns
-    gone = common.settled(spark, near_copies(docs, radius, seeds).where("node <> root").select(F.col("node").alias("_gone")), "gone")
+    gone = common.settled(spark, near_copies(docs).where("node <> root").select(F.col("node").alias("_gone")).distinct(), "gone")
     split = common.id_filter(gone.select(F.col("_gone").alias("doc_id")))
     same = F.col("doc_id").cast("long") == F.col("_gone")
     kept = split(docs, False).unionByName(split(docs, True).join(gone, same, "left_anti"))
