@@ -256,6 +256,14 @@ def test_near_copies_equal_brute_force(spark):
     assert sorted(r.doc_id for r in op5_simhash.keep(df).collect()) == sorted(set(want.values()))
 
 
+def test_near_copies_of_repeated_content(spark):
+    """A text and the same text several times over have nearly the same shingles, though lengths differ much."""
+    text = [f"w{i}" for i in range(300)]
+    rows = [(1, text), (2, text * 2), (3, text * 5), (4, text[:250] + text[:200]), (5, text[:150] * 2)]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")
+    assert sorted(r.doc_id for r in op5_simhash.keep(df).collect()) == [1, 5]
+
+
 def test_language(spark, sf, odd):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     got = op6_language.op6_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
