@@ -264,6 +264,15 @@ def test_near_copies_of_repeated_content(spark):
     assert sorted(r.doc_id for r in op5_simhash.keep(df).collect()) == [1, 5]
 
 
+def test_near_copies_by_id_and_text(spark):
+    """Different texts of one doc_id stay; equal texts are one, with or without doc_id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, b + " more"), (None, c), (None, c), (None, a), (None, "odd one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.text) for r in op5_simhash.keep(df).collect())
+    assert got == sorted([(1, a), (1, b), (0, c), (0, "odd one")])
+
+
 def test_language(spark, sf, odd):
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")
     got = op6_language.op6_language(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out")

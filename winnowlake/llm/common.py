@@ -86,8 +86,8 @@ def id_filter(ids: DataFrame, column: str = "doc_id"):
     words = ids.select(slot(column).alias("s")).groupBy(F.shiftright("s", 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(s, 64) AS int))")).alias("_b"))
     words = settled(ids.sparkSession, words, "bitmap")
 
-    def split(df: DataFrame, inside: bool) -> DataFrame:
-        marked = df.withColumn("_slot", slot("doc_id")).join(F.broadcast(words), F.shiftright("_slot", 6) == F.col("_w"), "left")
+    def split(df: DataFrame, inside: bool, key: str = "doc_id") -> DataFrame:
+        marked = df.withColumn("_slot", slot(key)).join(F.broadcast(words), F.shiftright("_slot", 6) == F.col("_w"), "left")
         hit = F.expr("coalesce(shiftright(_b, cast(pmod(_slot, 64) AS int)) & 1L, 0L) = 1L")
         return marked.where(hit if inside else ~hit).select(*df.columns)
 

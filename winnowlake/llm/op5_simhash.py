@@ -412,32 +412,40 @@ def near_texts(docs: DataFrame) -> DataFrame:
     return components(links)
 
 
+def chosen(docs: DataFrame) -> DataFrame:
+    """text_id, first_id, first_text: of each component of several rows its texts, and the doc_id
+    and text of the row that stands for all: the least doc_id, then the least text_id. A row
+    without doc_id comes after all others."""
+    spark = docs.sparkSession
+    alike = common.settled(spark, near_texts(docs).withColumnRenamed("node", "text_id"), "alike")
+    rows = common.id_text(docs).select("doc_id", text_id().alias("text_id"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    kinds = rows.groupBy("text_id").agg(F.min(first).alias("first"), F.count("*").alias("n")).join(alike, "text_id", "left")
+    kinds = common.settled(spark, kinds.withColumn("root", F.coalesce("root", "text_id")), "kinds")
+    best = kinds.groupBy("root").agg(F.min(F.struct("first", "text_id")).alias("best"), F.sum("n").alias("n")).where("n > 1")
+    best = best.select("root", F.col("best.first.id").alias("first_id"), F.col("best.text_id").alias("first_text"))
+    return kinds.select("text_id", "root").join(best, "root").select("text_id", "first_id", "first_text")
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """node, root: documents (doc_id) of a component of near copies and its least doc_id; rows
     without doc_id are left out."""
-    spark = docs.sparkSession
     rows = common.id_text(docs).where("doc_id is not null").select(F.col("doc_id").alias("node"), text_id().alias("text_id"))
-    alike = common.settled(spark, near_texts(docs.where("doc_id is not null")).withColumnRenamed("node", "text_id"), "alike")
-    firsts = rows.groupBy("text_id").agg(F.min("node").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.join(alike, "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
-    firsts = common.settled(spark, firsts, "firsts")
-    least = firsts.groupBy("root").agg(F.min("first").alias("least"), F.sum("n").alias("n")).where("n > 1")
-    return rows.join(firsts.select("text_id", "root").join(least.select("root", "least"), "root"), "text_id").select("node", F.col("least").alias("root"))
+    return rows.join(chosen(docs), "text_id").select("node", F.col("first_id").alias("root"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """One row of docs, with all its columns, for each component of near copies: that of the least
-    doc_id. Rows without doc_id stay; of repeated rows of one doc_id one stays."""
+    doc_id. Rows are told apart by doc_id and text, so different texts of one doc_id stay, and
+    equal texts are one with or without doc_id."""
     spark, names = docs.sparkSession, docs.columns
-    gone = common.settled(spark, near_copies(docs).where("node <> root").select(F.col("node").alias("_gone")).distinct(), "gone")
-    split = common.id_filter(gone.select(F.col("_gone").alias("doc_id")))
-    same = F.col("doc_id").cast("long") == F.col("_gone")
-    kept = split(docs, False).unionByName(split(docs, True).join(gone, same, "left_anti"))
-    repeated = common.settled(spark, docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice")), "repeated")
-    if repeated.isEmpty():
-        return kept
-    twice = F.col("doc_id") == F.col("_twice")
-    return kept.join(repeated, twice, "left_anti").unionByName(kept.join(repeated, twice, "left_semi").select(*names).dropDuplicates(["doc_id"]))
+    found = common.settled(spark, chosen(docs).withColumnsRenamed({"text_id": "_node", "first_id": "_id", "first_text": "_first"}), "chosen")
+    split = common.id_filter(found, "_node")
+    marked = docs.withColumn("_text", text_id())
+    some = split(marked, True, "_text").join(found, F.col("_text") == F.col("_node"), "left")
+    # a text that isn't in found has a single row
+    some = some.where(F.col("_node").isNull() | (F.col("_text") == F.col("_first")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    return split(marked, False, "_text").select(*names).unionByName(some.dropDuplicates(["_text"]).select(*names))
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
