@@ -389,6 +389,21 @@ def test_toxicity(spark, odd):
     assert [r.score for r in op9_toxicity.score(odd, model).collect()] == [0.0] * 12
 
 
+def test_toxicity_trains_on_all_windows(spark, monkeypatch):
+    seen = {}
+
+    def record(rows, codes, first, size, bag, label):
+        seen.update(n=np.bincount(bag).tolist(), words=np.unique(codes[common.gather(first, size)] % (len(rows) // 2)).size)
+        return op9_toxicity.Network()
+
+    monkeypatch.setattr(op9_toxicity, "train", record)
+    length = [10, 48, 300, 313, 2000, 5000] * 4
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate(length)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i // 6 % 2) for i in range(len(length))], "doc_id long, toxic int")
+    op9_toxicity.fit(docs, labels)
+    assert seen["n"] == [len(op9_toxicity.window_starts(n)) for n in length] and seen["words"] == sum(length)
+
+
 def test_bpe():
     import tiktoken
 

@@ -27,8 +27,6 @@ from . import common
 
 WINDOW, STRIDE = 48, 24
 SAMPLE = 2500
-#: Windows of one sampled document that training sees, evenly spread.
-WINDOWS_PER_SAMPLE = 12
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 16
 GRAMS = (3, 4, 5)
 #: Documents that the prior counts as, spread over both classes by their size: chance hits of the rarer class weigh little.
@@ -335,28 +333,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     halves = [[odds(h, kind, size) for kind, size in ((0, WORD_BUCKETS), (1, GRAM_BUCKETS))] for h in (0, 1)]
     tables = [(a + b) / 2 for a, b in zip(*halves)]
 
-    def cut(batches):
-        for b in common.parts(batches):
-            offsets, words = common.split_words(b["text"])
-            codes, distinct = common.coded_words(words)
-            doc, first, size = windows_of(offsets)
-            order = np.concatenate([np.flatnonzero(doc == i)[np.unique(np.linspace(0, (doc == i).sum() - 1, WINDOWS_PER_SAMPLE).astype(int))] for i in range(b.num_rows)]) if b.num_rows else doc
-            text = distinct.take(pa.array(codes)) if len(codes) else distinct
-            at = pa.array(doc[order])
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"].take(at), "toxic": b["toxic"].take(at), "half": b["half"].take(at), "words": pa.array([text[f : f + n].to_pylist() for f, n in zip(first[order], size[order])], pa.list_(pa.string()))})
-
-    windows = rows.select("doc_id", "text", "toxic", "half").mapInArrow(cut, "doc_id long, toxic int, half int, words array<string>").toArrow().sort_by("doc_id")
-    bags, bag = np.unique(windows["doc_id"].to_numpy(), return_inverse=True)
-    label, half = np.zeros(len(bags), int), windows["half"].to_numpy()
-    label[bag] = windows["toxic"].to_numpy()
-    lists = pa.concat_arrays(windows["words"].chunks)
-    size = np.asarray(lists.value_lengths(), dtype=np.int64)
-    first = np.cumsum(size) - size
-    codes, distinct = common.coded_words(lists.flatten())
+    # the sample's rows are bounded; of each, training and calibration see all windows, as scoring does
+    whole = rows.select("doc_id", "text", "toxic", "half").toArrow().sort_by("doc_id")
+    bags, of = np.unique(whole["doc_id"].to_numpy(), return_inverse=True)
+    offsets, words = common.split_words(whole["text"])
+    codes, distinct = common.coded_words(words)
+    del words
+    doc, first, size = windows_of(offsets)
+    bag, half = of[doc], whole["half"].to_numpy()
+    label = np.zeros(len(bags), int)
+    label[of] = whole["toxic"].to_numpy()
     # the inputs of a half's words come from the other half's table, one after the other
     inputs = [features(distinct, *halves[1 - h]) for h in (0, 1)]
     inputs = np.concatenate([inputs[0][:-1], inputs[1]])
-    codes = codes + np.repeat(half, size) * len(distinct)
+    codes = codes + np.repeat(half, np.diff(offsets)) * len(distinct)
     net = train(inputs, codes, first, size, bag, label)
     best = np.full(len(bags), -np.inf)
     np.maximum.at(best, bag, logits(net, inputs, codes, first, size))
