@@ -404,17 +404,54 @@ def test_toxicity_trains_on_all_windows(spark, monkeypatch):
     assert seen["n"] == [len(op9_toxicity.window_starts(n)) for n in length] and seen["words"] == sum(length)
 
 
-def test_bpe():
+@pytest.fixture(scope="module")
+def bpe():
+    """The codec, and the public encoder's tokens of a text."""
     import tiktoken
 
     c = op10_bpe.Codec(common.vocabulary_path(op10_bpe.BYTE_BPE), op10_bpe.public_pattern())
     e = tiktoken.Encoding("own", pat_str=op10_bpe.public_pattern(), mergeable_ranks=c.ranks, special_tokens={})
-    texts = [t or "" for t in ODD] + ["aaab" * 400, "ab" * 700, "é" * 900, " " * 2000]
+    return c, e.encode_ordinary
+
+
+def test_bpe(bpe):
+    c, public = bpe
+    texts = [t or "" for t in ODD] + ["aaab" * 400, "ab" * 700, "é" * 900, " " * 2000, "abcabd" * 900, "a" * 30_000, "日本語né" * 1500]
     coded = c.encode(texts)
-    assert [x.tolist() for x, _ in coded] == [e.encode_ordinary(t) for t in texts]
+    assert [x.tolist() for x, _ in coded] == [public(t) for t in texts]
     assert c.decode([x for x, _ in coded]) == [t.encode() for t in texts]
 
 
+def random_letters(rng, n, alphabet="abcdefghijklmnopqrstuvwxyz"):
+    return "".join(np.array(list(alphabet))[rng.integers(0, len(alphabet), n)])
+
+
+def test_bpe_of_many_long_words(bpe):
+    """Memory follows the words' bytes, not what all steps of all words add up to."""
+    c, public = bpe
+    rng = np.random.default_rng(0)
+    text = " ".join(random_letters(rng, 400) for _ in range(300)) + " " + random_letters(rng, 5000)
+    assert c.encode([text])[0][0].tolist() == public(text)
+    assert [s.stop - s.start for s in op10_bpe.calls([400] * 100 + [2500, 9000])] == [37, 37, 26, 1, 1]
+
+
+def test_both_recursive_queries_agree(bpe, monkeypatch):
+    """Few letters make many equal and overlapping pairs, where the order of contraction matters."""
+    c, _ = bpe
+    rng = np.random.default_rng(1)
+    words = [random_letters(rng, int(rng.integers(1, 90)), a).encode() for a in ("ab", "abe", "sta ", "é0", "the in") for _ in range(150)]
+    steps = [x.tolist() for x in c.contract(words)]
+    monkeypatch.setattr(op10_bpe, "LONG", 0)
+    assert [x.tolist() for x in c.contract(words)] == steps
+
+
+@given(st.lists(st.text(max_size=40), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_bpe_equals_the_public_encoder(bpe, texts):
+    c, public = bpe
+    assert [x.tolist() for x, _ in c.encode(texts)] == [public(t) for t in texts]
+
+
 def test_bpe_round_trip(spark, odd):
     got = op10_bpe.round_trip(odd)
     want = sorted(hashlib.sha256((t or "").encode()).hexdigest() for t in [*ODD, "a", "no id"])

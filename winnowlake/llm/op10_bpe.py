@@ -1,16 +1,25 @@
 """Byte-level BPE in DuckDB, one database per Python worker (operator 10).
 
 The text is cut by the public pattern; each different match of a batch that the worker does not
-know yet becomes token-position rows in DuckDB. A recursive query joins neighbouring rows to the
-merge table, contracts each word's leftmost pair of least rank, and repeats until no pair is
-left. Matches that are a token as a whole take that token, as the public encoder does. The rows
-of a recursive query add up over its steps, so a match of more than LONG bytes is contracted by
-one statement per step instead, over a table that only shrinks; there a step takes all
-occurrences of its pair where no new pair could be due earlier (a property of the merge table).
+know yet goes to DuckDB. A join with the vocabulary finds matches that are a token as a whole. The
+others become token-position rows; a recursive query joins neighbouring rows to the merge table,
+contracts each word's leftmost pair of least rank, and repeats until no pair is left.
+
+Two recursive queries do the same:
+
+* STEPS keeps the rows of every step, about half the square of a word's bytes; words go through it
+  in calls of at most ROWS rows, so its memory is bounded whatever the words.
+* LIVE (for a match of more than LONG bytes) keeps a row a position (``USING KEY``), so it holds
+  as many rows as the match has bytes. A step takes all occurrences of the least pair, from the
+  left, up to the first one that brings a pair of lower rank beside it: what the leftmost-first
+  order would do one by one.
+
 Decoding joins ids to their bytes and aggregates them in order.
 
 Defined results: null and empty texts have no tokens and decode to no bytes (the digests are
-those of the empty string).
+those of the empty string); texts and matches may have any length; rows are independent, so
+repeated rows, ties and extra columns change nothing; a null doc_id stays null; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -27,11 +36,14 @@ from pyspark.sql import DataFrame
 from . import common
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
-LONG = 512
-#: Different words of one recursive query, matches that a worker keeps, tokens of one decoding query, characters handled at once.
-WORDS, KEPT, TOKENS, CHARS = 50_000, 800_000, 1_000_000, 4_000_000
-
-CONTRACT = """
+#: Bytes of a match from which on LIVE is used, and rows that one call of STEPS may make.
+LONG, ROWS = 2000, 3_000_000
+#: Matches that a worker keeps, tokens of one decoding query, characters handled at once.
+KEPT, TOKENS, CHARS = 800_000, 1_000_000, 4_000_000
+#: Megabytes that DuckDB may use, and more for each byte of a match that is longer than a megabyte.
+MEMORY, PER_BYTE = 400, 0.0004
+
+STEPS = """
 WITH RECURSIVE s(w, pos, id, step) AS (
   SELECT w, pos, id, 0 FROM start
   UNION ALL
@@ -45,16 +57,39 @@ SELECT w, list(id ORDER BY pos) AS ids FROM (SELECT *, max(step) OVER (PARTITION
 WHERE step = last GROUP BY w ORDER BY w
 """
 
-#: The pairs of a long word that its next step contracts: a run of equal pairs (aaaa) gives every second one.
-DUE = """
-CREATE OR REPLACE TEMP TABLE due AS
-WITH p AS (SELECT pos, row_number() OVER o AS i, id, lead(id) OVER o AS nid, lead(pos) OVER o AS nxt FROM long_word WINDOW o AS (ORDER BY pos)),
-q AS (SELECT p.pos, p.nxt, p.i, g.m, g.l, g.r FROM p JOIN merges g ON g.l = p.id AND g.r = p.nid),
-b AS (SELECT * FROM q WHERE m = (SELECT min(m) FROM q)),
-r AS (SELECT *, i - row_number() OVER (ORDER BY i) AS run, row_number() OVER (ORDER BY i) AS n FROM b),
-a AS (SELECT *, row_number() OVER (PARTITION BY run, l, r ORDER BY i) AS place FROM r)
-SELECT pos, nxt, m FROM a
-WHERE CASE WHEN m IN (SELECT m FROM early) OR (SELECT count(DISTINCT (l, r)) FROM a) > 1 THEN n = 1 ELSE l <> r OR place % 2 = 1 END
+#: s: id (-1: contracted into the row before it), the next live row, and the rank of the pair with it.
+LIVE = """
+WITH RECURSIVE s(w, pos, id, nxt, m) USING KEY (w, pos) AS (
+  SELECT a.w, a.pos, a.id, a.nxt, g.m
+  FROM (SELECT w, pos, id, lead(pos) OVER o AS nxt, lead(id) OVER o AS nid FROM start WINDOW o AS (PARTITION BY w ORDER BY pos)) a
+  LEFT JOIN merges g ON g.l = a.id AND g.r = a.nid
+  UNION
+  (WITH least AS MATERIALIZED (SELECT w, min(m) AS m FROM recurring.s GROUP BY w),
+   -- overlapping pairs (aaaa) form a run, of which every second one is due
+   runs AS (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY pos) AS place FROM (
+     SELECT *, sum(fresh) OVER (PARTITION BY w ORDER BY pos) AS run FROM (
+       SELECT s.w, s.pos, s.nxt, s.m, CASE WHEN lag(s.nxt) OVER (PARTITION BY s.w ORDER BY s.pos) = s.pos THEN 0 ELSE 1 END AS fresh
+       FROM recurring.s AS s JOIN least ON least.w = s.w AND least.m = s.m))),
+   due AS MATERIALIZED (SELECT w, pos, nxt, m, row_number() OVER (PARTITION BY w ORDER BY pos) AS n FROM runs WHERE place % 2 = 1),
+   near AS MATERIALIZED (SELECT s.w, s.pos, s.id, s.nxt, a.pos IS NOT NULL AS gone, b.pos AS before
+     FROM recurring.s AS s LEFT JOIN due a ON a.w = s.w AND a.nxt = s.pos LEFT JOIN due b ON b.w = s.w AND b.pos = s.nxt
+     WHERE s.id >= 0 AND (a.pos IS NOT NULL OR b.pos IS NOT NULL)),
+   made AS MATERIALIZED (SELECT d.w, d.pos, d.nxt AS old, d.m AS id, near.nxt, d.n FROM due d JOIN near ON near.gone AND near.w = d.w AND near.pos = d.nxt),
+   -- pairs that a contraction brings about, with the neighbours as they are at its turn
+   beside AS (SELECT d.w, d.n, d.id AS l, s.id AS r, d.id AS m FROM made d JOIN recurring.s AS s ON s.w = d.w AND s.pos = d.nxt
+     UNION ALL SELECT d.w, d.n, CASE WHEN near.gone THEN d.id ELSE near.id END, d.id, d.id FROM made d JOIN near ON near.w = d.w AND near.before = d.pos),
+   lower AS MATERIALIZED (SELECT b.w, min(b.n) AS n FROM beside b JOIN merges g ON g.l = b.l AND g.r = b.r WHERE g.m < b.m GROUP BY b.w),
+   taken AS MATERIALIZED (SELECT made.* FROM made LEFT JOIN lower ON lower.w = made.w WHERE lower.n IS NULL OR made.n <= lower.n),
+   touched AS MATERIALIZED (SELECT w, pos FROM taken UNION ALL SELECT w, old FROM taken),
+   changed AS MATERIALIZED (SELECT w, pos, id, nxt FROM taken
+     UNION ALL SELECT near.w, near.pos, near.id, near.nxt FROM near JOIN taken ON taken.w = near.w AND taken.pos = near.before
+       ANTI JOIN touched ON touched.w = near.w AND touched.pos = near.pos),
+   after AS (SELECT c.w, c.pos, c.id, c.nxt, coalesce(t.id, n.id) AS nid FROM changed c
+     LEFT JOIN recurring.s AS n ON n.w = c.w AND n.pos = c.nxt LEFT JOIN taken t ON t.w = c.w AND t.pos = c.nxt)
+   SELECT a.w, a.pos, a.id, a.nxt, g.m FROM after a LEFT JOIN merges g ON g.l = a.id AND g.r = a.nid
+   UNION ALL SELECT w, old, -1, NULL, NULL FROM taken)
+)
+SELECT w, list(id ORDER BY pos) AS ids FROM s WHERE id >= 0 GROUP BY w ORDER BY w
 """
 
 
@@ -70,13 +105,11 @@ class Codec:
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], m) for t, m in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, merged = (pa.array(x, pa.int32()) for x in zip(*pairs))
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
         merges = pa.table({"l": left, "r": right, "m": merged})  # noqa: F841  DuckDB reads it by name
         vocab = pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "b": pa.array(list(self.ranks), pa.binary())})  # noqa: F841
         self.con.execute("CREATE TABLE merges AS SELECT * FROM merges")
         self.con.execute("CREATE TABLE vocab AS SELECT * FROM vocab")
-        # tokens after which a pair of lower rank may arise
-        self.con.execute("CREATE TABLE early AS SELECT DISTINCT unnest([l, r]) AS m FROM merges WHERE m < greatest(l, r)")
         self.forget()
 
     def forget(self) -> None:
@@ -85,22 +118,23 @@ class Codec:
         self.ids, self.ends = array.array("i"), array.array("q", [0])
 
     def contract(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the words and their lengths."""
+        """Flat ids of the words, none of which is empty, and their lengths."""
         lengths = np.array(list(map(len, words)), np.int64)
         flat = np.frombuffer(b"".join(words), np.uint8)
         w = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         self.con.register("start", pa.table({"w": w, "pos": pos.astype(np.int32), "id": self.byte[flat]}))
-        lists = self.con.sql(CONTRACT).to_arrow_table()["ids"].combine_chunks()
+        most = int(lengths.max())
+        if most > LONG:
+            self.con.execute(f"SET memory_limit = '{MEMORY + int(max(0, most - 1_000_000) * PER_BYTE)}MB'")
+        lists = self.con.sql(LIVE if most > LONG else STEPS).to_arrow_table()["ids"].combine_chunks()
         return lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
 
-    def contract_long(self, word: bytes) -> list[int]:
-        flat = self.byte[np.frombuffer(word, np.uint8)]
-        self.con.register("one", pa.table({"pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
-        self.con.execute("CREATE OR REPLACE TEMP TABLE long_word AS SELECT * FROM one")
-        while self.con.execute(DUE) and self.con.execute("SELECT count(*) FROM due").fetchone()[0]:
-            self.con.execute("CREATE OR REPLACE TEMP TABLE long_word AS SELECT w.pos, coalesce(d.m, w.id) AS id FROM long_word w LEFT JOIN due d ON d.pos = w.pos WHERE w.pos NOT IN (SELECT nxt FROM due)")
-        return [r[0] for r in self.con.execute("SELECT id FROM long_word ORDER BY pos").fetchall()]
+    def whole(self, words: list[bytes]) -> dict[int, int]:
+        """The token of each word (by its place) that is one as a whole."""
+        self.con.register("words", pa.table({"w": np.arange(len(words), dtype=np.int32), "b": pa.array(words, pa.binary())}))
+        found = self.con.sql("SELECT w, id FROM words JOIN vocab USING (b)").to_arrow_table()
+        return dict(zip(found["w"].to_pylist(), found["id"].to_pylist()))
 
     def add(self, word: str, ids: list[int]) -> None:
         self.code[word] = len(self.texts)
@@ -109,21 +143,16 @@ class Codec:
         self.texts.append(" ".join(map(str, ids)))
 
     def learn(self, words: list[str]) -> None:
-        todo: list[tuple[str, bytes]] = []
-        for w in words:
-            raw = w.encode()
-            if raw in self.ranks:
-                self.add(w, [self.ranks[raw]])
-            elif len(raw) > LONG:
-                self.add(w, self.contract_long(raw))
-            else:
-                todo.append((w, raw))
-        for i in range(0, len(todo), WORDS):
-            some = todo[i : i + WORDS]
-            flat, lengths = self.contract([raw for _, raw in some])
+        raw = [w.encode() for w in words]
+        known = self.whole(raw)
+        for i, token in known.items():
+            self.add(words[i], [token])
+        todo = sorted(set(range(len(words))) - known.keys(), key=lambda i: len(raw[i]))
+        for some in calls([len(raw[i]) for i in todo]):
+            flat, lengths = self.contract([raw[i] for i in todo[some]])
             ids, at = flat.tolist(), 0
-            for (w, _), n in zip(some, lengths.tolist()):
-                self.add(w, ids[at : at + n])
+            for i, n in zip(todo[some], lengths.tolist()):
+                self.add(words[i], ids[at : at + n])
                 at += n
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
@@ -175,6 +204,18 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+def calls(sizes: list[int]) -> list[slice]:
+    """Slices of words, given by their bytes in ascending order, for one call each."""
+    out, first, rows = [], 0, 0
+    for i, n in enumerate(sizes):
+        # a longer match than LONG has a call of its own
+        if i > first and (n > LONG or rows + n * (n + 1) // 2 > ROWS):
+            out.append(slice(first, i))
+            first, rows = i, 0
+        rows += n * (n + 1) // 2
+    return [*out, slice(first, len(sizes))] if sizes else out
+
+
 def runs(sizes: list[int], most: int) -> list[slice]:
     """Slices of neighbouring texts of about most characters together."""
     out, first, total = [], 0, 0
