@@ -42,6 +42,17 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """row (a struct of all columns), doc_id, text: an operator's own columns stand beside row, so
+    no name of docs can clash with them. unpacked() gives the columns back."""
+    row = F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias("row")
+    return docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("row.*")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below spark.checkpoint.dir, which driver and executors share.
 
@@ -61,10 +72,34 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def settled(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there."""
+    """df written to the shared folder and read again: its lineage ends there. Whoever knows that
+    the table is read no more may give it to dropped()."""
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    _written.append(path)
+    return out
+
+
+#: Folders of settled tables in the order in which they were written and not dropped.
+_written: list[str] = []
+
+
+def written() -> list[str]:
+    return list(_written)
+
+
+def dropped(spark: SparkSession, *tables: DataFrame | str) -> None:
+    """Delete settled tables, given as they were returned or by their folders."""
+    for t in tables:
+        path = t if isinstance(t, str) else getattr(t, "_settled_at", None)
+        if path is None:
+            continue
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _written:
+            _written.remove(path)
 
 
 #: Bits of an id filter at least and at most; the most makes a table of 262,144 rows of two numbers.
@@ -123,13 +158,16 @@ PART_BYTES = 2_000_000
 
 def parts(batches, column: str = "text"):
     """Slices of Arrow batches with a bounded amount of text each; memory goes back at the end.
+    column may be a field of a struct (row.text).
 
     Workers outlive a stage, so what one leaves allocated would add to the next one's needs."""
+    outer, _, inner = column.partition(".")
     for b in batches:
-        if column not in b.schema.names or not b.num_rows:
+        if outer not in b.schema.names or not b.num_rows:
             yield b
             continue
-        total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b[column]), 0), dtype=np.int64))
+        texts = b[outer].field(inner) if inner else b[outer]
+        total = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
         first = 0
         while first < b.num_rows:
             before = int(total[first - 1]) if first else 0

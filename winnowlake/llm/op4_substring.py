@@ -5,24 +5,28 @@ WINDOW words). Equal phrases share their anchor, the least hash among their ANCH
 Neighbouring phrases with one anchor form a block (about twenty phrases); blocks are cut by
 content alone, so a shared passage gives equal blocks but for its ends.
 
-1. Blocks: a reference table holds each different block with its smallest doc_id. A document's
-   block that a smaller doc_id has is matched as a whole.
+1. Blocks: a reference table holds each different block with its smallest doc_id and the place
+   there. A document's block that a smaller doc_id has is matched as a whole.
 2. Factor boundaries: where an anchor has several different blocks, a passage begins or ends
    inside them. The phrases of these blocks' first documents are indexed one by one; a phrase
    that a smaller doc_id has is matched.
 
-The parse is greedy: a factor starts at the first match and runs on while the next match follows
-in the same reference document; at its boundary the phrases that start inside it and end beyond it
-were checked on their own. So the factors cover exactly the phrases that a smaller doc_id has, and
-words under a factor are removed. Blocks and phrases are compared by 128 bits of hash.
+So every phrase that a smaller doc_id has comes with a reference: document and place. The parse is
+greedy: a factor starts at the first phrase that has one and runs on as long as the next phrase
+stands next to it in the same reference, so each factor is a run of words of its source. Where the
+reference ends, the next factor starts at the next phrase that has one, which may overlap it.
+Factors have WINDOW words or more by construction; words under a factor are removed. Blocks and
+phrases are compared by 128 bits of hash.
 
 Shuffles hold hashes of blocks, and phrases of boundary blocks only; texts are shuffled only where
 a bitmap of bounded size says that their document is concerned. Frequent keys are aggregated
 before the shuffle, and joins on them are inner or left joins that Spark splits when skewed.
 
-Defined results: null text has no words; texts of fewer than WINDOW words lose nothing; repeats
-inside one document stay; rows with a null doc_id, or with the same doc_id, are no reference for
-each other. Extra columns are ignored.
+Defined results: null text has no words and keeps its row; texts of fewer than WINDOW words lose
+nothing; repeats inside one document stay; rows with a null doc_id, or with the same doc_id, are no
+reference for each other, so repeated rows stay as they are; where a source has a phrase at several
+places, a factor names any one of them; texts may have any length; extra columns are ignored by
+dedup and carried by keep, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from . import common
 
@@ -97,21 +102,25 @@ def blocks(texts, window: int, anchor: int):
     return own[first], start[first], n, least[first], content, (block, start, one, two)
 
 
-def parse(starts: np.ndarray, sizes: np.ndarray, sources: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, words, reference document) from matches (first phrase, phrases, reference)."""
-    order = np.argsort(starts, kind="stable")
-    out: list[tuple[int, int, int]] = []
-    for a, n, s in zip(starts[order].tolist(), sizes[order].tolist(), sources[order].tolist()):
-        if out and out[-1][2] == s and a <= out[-1][0] + out[-1][1] - window + 1:
-            a0, words, _ = out[-1]
-            out[-1] = (a0, max(words, a + n - 1 + window - a0), s)
+def parse(starts: np.ndarray, sizes: np.ndarray, sources: np.ndarray, places: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, words, reference document, place there) from matches (first phrase,
+    phrases, reference document, place there)."""
+    order = np.lexsort((-sizes, starts))
+    out: list[list[int]] = []  # start, end (both in phrases), source, place
+    for a, n, s, p in zip(*(x[order].tolist() for x in (starts, sizes, sources, places))):
+        last = out[-1] if out else None
+        if last and a + n <= last[1]:
+            continue  # inside the factor that runs
+        if last and a <= last[1] and s == last[2] and p - a == last[3] - last[0]:
+            last[1] = a + n
         else:
-            out.append((a, n - 1 + window, s))
-    return out
+            out.append([a, a + n, s, p])
+    return [(a, e - a - 1 + window, s, p) for a, e, s, p in out]
 
 
 def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, check (CRC-32 of the text) and m, an array of (start, n, source): matched phrases."""
+    """doc_id, check (CRC-32 of the text) and m, an array of (start, n, source, at): matched phrases
+    and where the reference document has them."""
     spark = docs.sparkSession
     common.small_batches(spark)
     texts = common.id_text(docs).where("doc_id is not null and text is not null").withColumn("check", F.crc32("text"))
@@ -123,10 +132,10 @@ def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
             yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"].take(at), "check": b["check"].take(at), "h": pa.array(h.view(np.int64)), "g": pa.array(g.view(np.int64)), "start": pa.array(start, pa.int32()), "n": pa.array(n, pa.int32())})
 
     found = common.settled(spark, texts.mapInArrow(cut_blocks, "doc_id long, check long, h long, g long, start int, n int"), "blocks")
-    table = found.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    table = found.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.min_by("start", "doc_id").alias("at"), F.max("doc_id").alias("last"))
     table = common.settled(spark, table, "references")
-    shared = table.where("first < last").select("h", "g", F.col("first").alias("source"))
-    whole = found.join(shared, ["h", "g"]).where("source < doc_id").select("doc_id", "check", "start", "n", "source")
+    shared = table.where("first < last").select("h", "g", F.col("first").alias("source"), "at")
+    whole = found.join(shared, ["h", "g"]).where("source < doc_id").select("doc_id", "check", "start", "n", "source", "at")
 
     several = table.groupBy("h").agg(F.count("*").alias("kinds"), F.min("first").alias("a"), F.max("last").alias("b")).where("kinds > 1 and a < b").select("h")
     several = common.settled(spark, several, "boundaries")
@@ -153,78 +162,83 @@ def matches(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     concerned = common.id_filter(wanted.select("doc_id"))(texts, True)
     single = concerned.join(wanted, "doc_id").mapInArrow(cut_phrases, "doc_id long, check long, start int, one long, two long")
     single = common.settled(spark, single, "phrases")
-    index = single.groupBy("one", "two").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
+    index = single.groupBy("one", "two").agg(F.min("doc_id").alias("source"), F.min_by("start", "doc_id").alias("at"), F.max("doc_id").alias("last")).where("source < last").drop("last")
     index = common.settled(spark, index, "index")
-    at_ends = single.join(index, ["one", "two"]).where("source < doc_id").select("doc_id", "check", "start", F.lit(1).alias("n"), "source")
+    at_ends = single.join(index, ["one", "two"]).where("source < doc_id").select("doc_id", "check", "start", F.lit(1).alias("n"), "source", "at")
     both = whole.unionByName(at_ends)
-    return common.settled(spark, both.groupBy("doc_id", "check").agg(F.collect_list(F.struct("start", "n", "source")).alias("m")), "matches")
+    return common.settled(spark, both.groupBy("doc_id", "check").agg(F.collect_list(F.struct("start", "n", "source", "at")).alias("m")), "matches")
 
 
-def with_matches(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """docs with the column _m (null: no match). Documents without a match are not shuffled."""
-    found = matches(docs, window, anchor).select(F.col("doc_id").alias("_id"), F.col("check").alias("_check"), F.col("m").alias("_m"))
-    split = common.id_filter(found.select(F.col("_id").alias("doc_id")).distinct())
-    same = (F.col("doc_id").cast("long") == F.col("_id")) & (F.crc32(F.col("text").cast("string")) == F.col("_check"))
-    joined = split(docs, True).join(found, same, "left").drop("_id", "_check")
-    return split(docs, False).withColumn("_m", F.lit(None).cast(dict(found.dtypes)["_m"])).unionByName(joined)
+def with_matches(rows: DataFrame, window: int, anchor: int) -> DataFrame:
+    """rows (row, doc_id, text) with the column m (null: no match). Documents without a match are
+    not shuffled."""
+    found = matches(rows, window, anchor)
+    split = common.id_filter(found.select("doc_id").distinct())
+    checked = rows.withColumn("check", F.crc32("text"))
+    joined = split(checked, True).join(found, ["doc_id", "check"], "left").select("row", "doc_id", "text", "m")
+    return split(rows, False).withColumn("m", F.lit(None).cast(dict(found.dtypes)["m"])).unionByName(joined)
 
 
 def cut(text, m, window: int) -> tuple[int, list, pa.Array]:
     """A text's number of words, its factors, and the words that no factor covers."""
     _, words = common.split_words(pa.array([text], pa.large_string()))
-    factors = parse(*(np.asarray(m.values.field(k)) for k in ("start", "n", "source")), window) if m.is_valid else []
+    factors = parse(*(np.asarray(m.values.field(k)) for k in ("start", "n", "source", "at")), window) if m.is_valid else []
     keep = np.ones(len(words), bool)
-    for a, size, _ in factors:
+    for a, size, _, _ in factors:
         keep[a : a + size] = False
     return len(words), factors, words.filter(pa.array(keep)) if factors else words
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, digest: bool = False) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept (the words left, joined by one space;
-    with digest their SHA-256 in hex), factors (start, words, source)."""
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("source", pa.int64())]))]
-    names = ["doc_id", "n_words", "n_removed", "kept", "factors"]
+    with digest their SHA-256 in hex), factors (start, words, source, at: words of this document
+    from start on are words of source from at on)."""
+    names, kinds = ["start", "words", "source", "at"], [pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct(list(zip(names, kinds))))]
+    columns = ["doc_id", "n_words", "n_removed", "kept", "factors"]
 
     def each(batches):
         for b in common.parts(batches):
             out = []
-            for key, text, m in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["_m"]):
+            for key, text, m in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["m"]):
                 n, factors, kept = cut(text, m, window)
                 joined = b" ".join(kept.cast(pa.large_binary()).to_pylist())
-                out.append((key, n, n - len(kept), hashlib.sha256(joined).hexdigest() if digest else joined.decode(), [{"start": a, "words": w, "source": s} for a, w, s in factors]))
+                out.append((key, n, n - len(kept), hashlib.sha256(joined).hexdigest() if digest else joined.decode(), [dict(zip(names, f)) for f in factors]))
             cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=columns)
 
-    rows = with_matches(common.id_text(docs), window, anchor)
-    return rows.mapInArrow(each, "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start: int, words: int, source: long>>")
+    rows = with_matches(common.id_text(docs).select(F.lit(None).cast("int").alias("row"), "doc_id", "text"), window, anchor)
+    return rows.drop("row").mapInArrow(each, "doc_id long, n_words long, n_removed long, kept string, factors array<struct<start: int, words: int, source: long, at: int>>")
 
 
 def keep(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """docs with duplicate words removed from text (and n_chars to match, if there is one). A
     text that loses words has the rest joined by one space; others stay as they are; a document
     that loses all its words goes."""
-    names, schema = docs.columns, docs.schema
-    at = names.index("text")
+    names = docs.columns
 
     def each(batches):
-        for b in common.parts(batches):
-            hit = np.flatnonzero(np.asarray(b["_m"].is_valid()))
-            texts, gone = b["text"].to_pylist(), set()
+        for b in common.parts(batches, "row.text"):
+            hit = np.flatnonzero(np.asarray(b["m"].is_valid()))
+            row = b["row"]
+            cols = [row.field(i) for i in range(len(names))]
+            texts, gone = cols[names.index("text")].to_pylist(), set()
             for i in hit.tolist():
-                _, _, kept = cut(texts[i], b["_m"][i], window)
+                _, _, kept = cut(texts[i], b["m"][i], window)
                 texts[i] = " ".join(kept.to_pylist())
                 if not len(kept):
                     gone.add(i)
-            cols = [b[n] for n in names]
-            cols[at] = pa.array(texts, pa.string())
             if "n_chars" in names:
-                old = b["n_chars"].to_pylist()
+                old = cols[names.index("n_chars")].to_pylist()
                 for i in hit.tolist():
                     old[i] = len(texts[i])
-                cols[names.index("n_chars")] = pa.array(old, b["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array([i not in gone for i in range(len(texts))]))
+                cols[names.index("n_chars")] = pa.array(old, cols[names.index("n_chars")].type)
+            cols[names.index("text")] = pa.array(texts, pa.string())
+            made = pa.StructArray.from_arrays(cols, fields=[pa.field(f.name, c.type) for f, c in zip(row.type, cols)])
+            yield pa.RecordBatch.from_arrays([made], names=["row"]).filter(pa.array([i not in gone for i in range(len(texts))]))
 
-    return with_matches(docs, window, anchor).mapInArrow(each, schema)
+    rows = with_matches(common.packed(docs), window, anchor).select("row", "m")
+    return common.unpacked(rows.mapInArrow(each, StructType([StructField("row", docs.schema)])))
 
 
 def op4_substring(spark, sf_dir: str) -> DataFrame:

@@ -210,20 +210,24 @@ def components(links: DataFrame) -> DataFrame:
     """node, root (the least node that links connect it to), for nodes of links (a, b).
 
     Each round takes the least root among neighbours and then follows roots of roots; rounds are
-    written tables, so nothing is recomputed when an executor is lost.
+    written tables, so nothing is recomputed when an executor is lost. A round's table is deleted
+    when the next one is written.
     """
     spark = links.sparkSession
     both = common.settled(spark, links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    roots = common.settled(spark, both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("root")), "roots")
+    roots = kept = common.settled(spark, both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("root")), "roots")
     while True:
         near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         step = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         step = common.settled(spark, step, "roots")
+        common.dropped(spark, kept)
         jump = step.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
-        new = common.settled(spark, jump.select("node", "old", F.least("root", "next").alias("root")), "roots")
-        if new.where("root <> old").isEmpty():
-            return new.select("node", "root")
-        roots = new.select("node", "root")
+        kept = common.settled(spark, jump.select("node", "old", F.least("root", "next").alias("root")), "roots")
+        common.dropped(spark, step)
+        if kept.where("root <> old").isEmpty():
+            common.dropped(spark, both)
+            return kept.select("node", "root")
+        roots = kept.select("node", "root")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -243,6 +247,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 NEAR_SHINGLE, NEAR_SIMILARITY, VERIFIED = 5, 0.8, 2000
 #: Signatures compared in one call on average. Rows whose shingles are counted for their order, the count from which one is hot, and hot ones at most.
 COMPARED, COUNTED, HOT_AT, HOT_MOST = 50_000, 8192, 3, 65_536
+#: Signatures that a map task combines at once.
+COMBINED = 1_000_000
 
 
 def shingle_sets(texts, size: int = NEAR_SHINGLE) -> list[np.ndarray]:
@@ -356,27 +362,54 @@ def hot_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return hot[order], counts[order]
 
 
+def stars(found: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of signatures and nodes: each different signature with its least node, and edges (node,
+    least node) of the others."""
+    order = np.lexsort((node, found))
+    found, node = found[order], node[order]
+    new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, int)
+    first = np.repeat(node[new], np.diff(np.concatenate([new, [len(node)]])))
+    pairs = np.unique(np.stack([node, first], 1)[node != first], axis=0)
+    return found[new], node[new], pairs[:, 0], pairs[:, 1]
+
+
 def candidates(texts: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all texts (text_id, text) which share a signature."""
+    """Edges (a, b) that connect all texts (text_id, text) which share a signature.
+
+    A map task sends each signature once for every COMBINED signatures that it makes, and its own
+    edges, so a signature that very many texts have brings few rows to the task that gathers it."""
     size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     hot, counts = hot_shingles(texts, size["n"])
     calls = max(1, (size["bytes"] or 0) // (15 * COMPARED))  # a signature for about 15 bytes
 
+    def sent(found: list, nodes: list):
+        one, node, a, b = stars(np.concatenate(found), np.concatenate(nodes))
+        none = np.zeros(len(one), bool)
+        yield pa.RecordBatch.from_pydict({
+            "signature": pa.array(np.concatenate([one, a])), "node": pa.array(np.concatenate([node, a])),
+            "other": pa.array(np.concatenate([node, b]), mask=np.concatenate([~none, np.zeros(len(a), bool)])),
+        })
+
     def each(batches):
+        found, nodes, n = [], [], 0
         for b in common.parts(batches):
-            own, found = signatures(b["text"], hot, counts)
-            yield pa.RecordBatch.from_pydict({"signature": pa.array(found.view(np.int64)), "node": b["text_id"].take(pa.array(own))})
+            own, some = signatures(b["text"], hot, counts)
+            found.append(some.view(np.int64))
+            nodes.append(b["text_id"].to_numpy()[own])
+            n += len(own)
+            if n >= COMBINED:
+                yield from sent(found, nodes)
+                found, nodes, n = [], [], 0
+        if n:
+            yield from sent(found, nodes)
 
     def share(t: pa.Table) -> pa.Table:
+        known = np.asarray(t["other"].is_valid())
         found, node = t["signature"].to_numpy(), t["node"].to_numpy()
-        order = np.lexsort((node, found))
-        found, node = found[order], node[order]
-        new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-        first = np.repeat(node[new], np.diff(np.concatenate([new, [len(node)]])))
-        pairs = np.unique(np.stack([node, first], 1)[node != first], axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
-
-    rows = texts.select("text_id", "text").mapInArrow(each, "signature long, node long")
+        _, _, a, b = stars(found[~known], node[~known])
+        return pa.table({"a": np.concatenate([a, node[known]]), "b": np.concatenate([b, t["other"].filter(pa.array(known)).to_numpy()])})
+
+    rows = texts.select("text_id", "text").mapInArrow(each, "signature long, node long, other long")
     return rows.withColumn("call", F.pmod(F.xxhash64("signature"), F.lit(calls))).groupBy("call").applyInArrow(share, "a long, b long")
 
 
@@ -437,15 +470,16 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """One row of docs, with all its columns, for each component of near copies: that of the least
     doc_id. Rows are told apart by doc_id and text, so different texts of one doc_id stay, and
-    equal texts are one with or without doc_id."""
-    spark, names = docs.sparkSession, docs.columns
-    found = common.settled(spark, chosen(docs).withColumnsRenamed({"text_id": "_node", "first_id": "_id", "first_text": "_first"}), "chosen")
-    split = common.id_filter(found, "_node")
-    marked = docs.withColumn("_text", text_id())
-    some = split(marked, True, "_text").join(found, F.col("_text") == F.col("_node"), "left")
+    equal texts are one with or without doc_id; of rows equal in both any one stays. Null text is
+    the empty text; extra columns may have any names."""
+    spark = docs.sparkSession
+    found = common.settled(spark, chosen(docs).withColumnRenamed("text_id", "node"), "chosen")
+    split = common.id_filter(found, "node")
+    marked = common.packed(docs).select("row", "doc_id", text_id().alias("own"))
+    some = split(marked, True, "own").join(found, F.col("own") == F.col("node"), "left")
     # a text that isn't in found has a single row
-    some = some.where(F.col("_node").isNull() | (F.col("_text") == F.col("_first")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    return split(marked, False, "_text").select(*names).unionByName(some.dropDuplicates(["_text"]).select(*names))
+    some = some.where(F.col("node").isNull() | (F.col("own") == F.col("first_text")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    return common.unpacked(split(marked, False, "own").select("row").unionByName(some.dropDuplicates(["own"]).select("row")))
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
