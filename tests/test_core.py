@@ -89,6 +89,74 @@ def test_fastx(spark, tmp_path):
     assert spark.read.format("fastx").load(str(tmp_path)).count() == 4
 
 
+def test_long_sequences_come_in_pieces(spark, tmp_path, monkeypatch):
+    """Blocks, pieces and kernel parts cut anywhere; k-mers stay the same."""
+    import io
+
+    rng = np.random.default_rng(0)
+    seqs = ["".join(np.array(list("ACGT"))[rng.integers(0, 4, n)]) for n in (1, 30, 31, 500, 5000)]
+    text = "".join(f">s{i} n\r\n" + "\r\n".join(s[j : j + 70] for j in range(0, len(s), 70)) + "\r\n" for i, s in enumerate(seqs))
+    want = [("u", i, f"s{i}", "n", s, None, False, 0) for i, s in enumerate(seqs)]
+    for block in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(fastx, "BLOCK", block)
+        assert list(fastx.records("u", io.BytesIO(text.encode()))) == want
+        assert list(fastx.records("u", io.BytesIO(gzip.compress(text.encode())))) == want
+        got = list(fastx.records("u", io.BytesIO(text.encode()), 100, 30))
+        for i, s in enumerate(seqs):
+            parts = [r for r in got if r[1] == i]
+            assert all(len(r[4]) <= 130 and r[4] == s[r[7] : r[7] + len(r[4])] for r in parts) and parts[-1][7] + len(parts[-1][4]) == len(s)
+            assert [a[7] + 100 for a in parts[:-1]] == [b[7] for b in parts[1:]]
+    monkeypatch.undo()
+    (tmp_path / "a.fa").write_text(text)
+    whole = sorted((r.record_no, r.seq) for r in fastx.read(spark, str(tmp_path / "a.fa")).collect())
+    assert whole == list(enumerate(seqs))
+    import pyarrow as pa
+
+    monkeypatch.setattr(minimizers, "PIECE", 64)
+    for s in seqs:
+        found = [x for at, base, data, offsets in minimizers.pieces(pa.array(["", s, None]), 9) for x in minimizers.batch_minimizers(data, offsets, 9, 5, True, 42, "mix")[2].tolist()]
+        assert found == minimizers.naive(s, 9, 5, True, 42, "mix")
+
+
+@given(st.integers(1, 200_000).flatmap(lambda n: st.tuples(st.just(n), st.sets(st.integers(0, n - 1), min_size=1, max_size=40), st.booleans())))
+@settings(max_examples=12, deadline=None)
+def test_stored_sets(spark, x):
+    """Sets in chunks of three forms and back; also sets of nearly all ids."""
+    n, ids, rest = x
+    n = min(n, 70_000) if rest else n
+    ids = sorted({i % n for i in ids})
+    ids = sorted(set(range(n)) - set(ids)) if rest else ids
+    members = spark.createDataFrame([(7, i) for i in ids], "cid long, doc_id long")
+    encoded = colors.encode(members, n)
+    assert sorted(r.doc_id for r in colors.decode(encoded, n).collect()) == ids
+    assert all(len(r.data) <= max(1, colors.CHUNK // 4) for r in encoded.collect())
+
+
+def test_lookups_read_only_their_partitions(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    docs = spark.createDataFrame([(i, "".join(np.array(list("ACGT"))[rng.integers(0, 4, 3000)])) for i in range(4)], "doc_id int, seq string")
+    index.write(index.build(docs, k=15, m=11), str(tmp_path))
+    built = index.read(spark, str(tmp_path))
+    q = docs.where("doc_id = 2").selectExpr("cast(doc_id AS long) AS qid", "substr(seq, 100, 20) AS seq")
+    found = query.run(built, q, 1.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket#", "").replace("PartitionFilters: [isnotnull(bucket", "PartitionFilters: [bucket") or "bucket#" in plan.split("PartitionFilters")[1]
+    assert [(r.doc_id, r.score) for r in found.collect()] == [(2, 6)]
+    assert index.pruned(built, query.query_minimizers(q, k=15, m=11)).count() < built.minimizer_map.count() / 2
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    lines = [f"line {i}" if i % 7 else "" for i in range(5000)]
+    (tmp_path / "x.txt").write_text("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = results.numbered_lines(spark, str(tmp_path / "x.txt"))
+        assert sorted((r.line_no, r.line) for r in rows.collect()) == list(enumerate(lines))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_lists_and_results(spark):
     assert lists.is_list(["x.list"]) and not lists.is_list(["x.fa"]) and not lists.is_list(["a.list", "b.list"])
     df = spark.createDataFrame([(0, "q\t2\t(3,10)\t(1,10)"), (1, "r\t0")], "line_no long, line string")
@@ -117,6 +185,36 @@ def test_rbo(spark):
     assert np.isnan(rbo.mean(rbo.compare(left.limit(0), right)).first()[0])
 
 
+@given(st.lists(st.integers(0, 30), max_size=25, unique=True), st.lists(st.integers(0, 30), max_size=25, unique=True))
+@settings(max_examples=15, deadline=None)
+def test_rbo_of_any_lists(spark, a, b):
+    df = spark.createDataFrame([(a, b)], "a array<bigint>, b array<bigint>")
+    at, low = df.select(rbo.completed(F.col("a"), F.col("b")), rbo.rbo_prefix(F.col("a"), F.col("b"), F.lit(0.9))).first()
+    d = min(len(a), len(b))
+    xs = [len(set(a[:i]) & set(b[:i])) for i in range(1, d + 1)]
+    assert [sum(v <= i for v in at) for i in range(1, d + 1)] == xs
+    assert abs(low - 0.1 * sum(x / (i + 1) * 0.9**i for i, x in enumerate(xs))) < 1e-12
+
+
+def test_rbo_work_follows_depth(spark):
+    """Four times the depth takes far less than sixteen times as long."""
+    import time
+
+    def took(depth):
+        lists = [(i, [(j * 7 + i) % 100_003 for j in range(depth)], [(j * 11 + i) % 100_003 for j in range(depth)]) for i in range(1000)]
+        df = spark.createDataFrame(lists, "line_no long, a array<bigint>, b array<bigint>").repartition(8).persist()
+        df.count()
+        left, right = df.selectExpr("line_no", "a AS docs"), df.selectExpr("line_no", "b AS docs")
+        rbo.compare(left, right).write.format("noop").mode("overwrite").save()
+        began = time.time()
+        rbo.compare(left, right).write.format("noop").mode("overwrite").save()
+        df.unpersist()
+        return time.time() - began
+
+    short, long = took(100), took(400)
+    assert long < 8 * short + 2 and long < 30
+
+
 def test_command_line(spark, tmp_path):
     for i, g in enumerate(GENOMES):
         (tmp_path / f"g{i}.fa").write_text(f">g{i}\n{g}\n")

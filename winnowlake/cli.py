@@ -7,6 +7,10 @@ import sys
 import time
 
 
+#: Bits of a query id that number the records of a file.
+RECORD_BITS = 40
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="winnowlake")
     sub = p.add_subparsers(dest="command", required=True)
@@ -62,20 +66,23 @@ def main(argv: list[str] | None = None, spark=None) -> int:
     ship(spark)
     began = time.time()
     if a.command == "build":
-        docs = fastx.documents(spark, lists.resolve(spark, a.input_list))
+        docs = fastx.documents(spark, lists.resolve(spark, a.input_list), piece=fastx.PIECE, overlap=a.k - 1)
         built = index.build(docs, uri="uri", k=a.k, m=a.m, canonical=not a.non_canonical, seed=a.seed, staging=f"{a.output_dirname}/_staging")
         index.write(built, a.output_dirname)
         if a.verbose >= 2:
-            index.stats(index.read(spark, a.output_dirname)).show()
+            stored = index.read(spark, a.output_dirname)
+            index.stats(stored).show()
+            index.size_histogram(stored).orderBy("tenth").show()
     elif a.command == "query":
-        rows = fastx.read(spark, lists.resolve(spark, a.input_list))
-        order = F.struct("uri", "record_no")
-        queries = rows.select(F.xxhash64("uri", "record_no").alias("qid"), "name", "seq", order.alias("place"))
-        lines = query.lines(query.run(index.read(spark, a.index), queries, a.ratio), queries).join(queries.select("qid", "place"), "qid")
+        rows = fastx.documents(spark, lists.resolve(spark, a.input_list))
+        # the file's place in the list and the record's in the file
+        qid = F.shiftleft(F.col("doc_id").cast("long"), RECORD_BITS).bitwiseOR(F.col("record_no"))
+        queries = rows.select(qid.alias("qid"), "name", "seq")
+        lines = query.lines(query.run(index.read(spark, a.index), queries, a.ratio), queries)
         if a.output_filename:
-            lines.repartitionByRange("place").sortWithinPartitions("place").select("line").write.mode("overwrite").text(a.output_filename)
+            lines.repartitionByRange("qid").sortWithinPartitions("qid").select("line").write.mode("overwrite").text(a.output_filename)
         else:
-            for row in lines.orderBy("place").toLocalIterator():
+            for row in lines.orderBy("qid").toLocalIterator():
                 print(row["line"])
     else:
         def side(path: str):

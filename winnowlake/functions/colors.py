@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,67 @@ def colorset_class(size: Column, n: Column) -> Column:
     return F.when(size < (0.25 * n).cast("int"), "sparse").when(size < (0.75 * n).cast("int"), "bitmap").otherwise("complement")
 
 
+#: Document ids of a chunk of a stored set.
+CHUNK = 1 << 16
+
+
+def room(chunk: Column, n: int) -> Column:
+    """How many document ids below n a chunk covers."""
+    return F.least(F.lit(CHUNK).cast("long"), F.lit(n).cast("long") - chunk * CHUNK).cast("int")
+
+
+def encode(members: DataFrame, n: int) -> DataFrame:
+    """cid, chunk, class, data: sets (cid, doc_id; ids from 0 below n) in the shortest form for each
+    chunk: the ids within it (sparse), words of 64 bits (bitmap) or the ids that are absent
+    (complement). Bits of a word are joined before the shuffle; a row holds a chunk at most."""
+    at = F.pmod(F.col("doc_id").cast("long"), F.lit(CHUNK))
+    words = members.select("cid", F.expr(f"cast(doc_id AS long) div {CHUNK}").alias("chunk"), F.shiftright(at, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(cast(doc_id AS long), 64) AS int))").alias("b"))
+    words = words.groupBy("cid", "chunk", "w").agg(F.bit_or("b").alias("b"))
+    rows = words.groupBy("cid", "chunk").agg(F.sort_array(F.collect_list(F.struct("w", "b"))).alias("ws"), F.sum(F.bit_count("b")).alias("size"))
+    rows = rows.withColumn("room", room(F.col("chunk"), n)).withColumn("class", colorset_class(F.col("size"), F.col("room")))
+    ids = bits_of("ws")
+    absent = F.array_except(F.sequence(F.lit(0), F.col("room") - 1), ids)
+    data = F.when(F.col("class") == "sparse", ids.cast("array<bigint>")).when(F.col("class") == "bitmap", F.transform(F.array(F.col("ws")), lambda ws: filled(ws, F.col("room")))[0]).otherwise(absent.cast("array<bigint>"))
+    return rows.select("cid", "chunk", "class", data.alias("data"))
+
+
+def bits_of(ws) -> Column:
+    """Ids (from 0) of an array of (w, b): set bits of words."""
+    one = lambda x: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("1L").bitwiseAND(shifted(x["b"], i)) != 0), lambda i: x["w"] * 64 + i)
+    return F.flatten(F.transform(ws, one))
+
+
+def shifted(b: Column, i: Column) -> Column:
+    return F.call_function("shiftright", b, i)
+
+
+def filled(ws: Column, width: Column) -> Column:
+    """All words of a chunk, also those without a bit."""
+    start = F.array().cast("array<bigint>")
+    upto = lambda a, w: F.array_repeat(F.lit(0).cast("long"), w - F.size(a))
+    whole = F.aggregate(ws, start, lambda a, x: F.concat(a, upto(a, x["w"]), F.array(x["b"])))
+    return F.transform(F.array(whole), lambda a: F.concat(a, upto(a, F.floor((width + 63) / 64).cast("int"))))[0]
+
+
+def decode(encoded: DataFrame, n: int) -> DataFrame:
+    """cid, doc_id of stored sets; a row's chunk is expanded on its own."""
+    data, width = F.col("data"), room(F.col("chunk"), n)
+    words = F.transform(data, lambda b, w: F.struct(w.alias("w"), b.alias("b")))
+    every = F.sequence(F.lit(0), width - 1)
+    ids = F.when(F.col("class") == "sparse", data.cast("array<int>")).when(F.col("class") == "bitmap", bits_of(words)).otherwise(F.array_except(every, data.cast("array<int>")))
+    return encoded.select("cid", "chunk", F.explode(ids).alias("at")).select("cid", (F.col("chunk") * CHUNK + F.col("at")).alias("doc_id"))
+
+
+def absent(members: DataFrame, n: int) -> DataFrame:
+    """h, doc_id: the ids below n that sets (h, doc_id, no repeats, not empty) do not hold. Ids fall in
+    the gaps between neighbours, so each gap is expanded on its own and no pair of a set and an id
+    is formed that the result lacks."""
+    order = Window.partitionBy("h").orderBy("doc_id")
+    own = members.withColumn("after", F.lead("doc_id").over(order)).withColumn("first", F.row_number().over(order) == 1)
+    ranges = F.array(F.struct((F.col("doc_id") + 1).alias("a"), F.coalesce("after", F.lit(n)).alias("b")), F.struct(F.lit(0).cast("long").alias("a"), F.when(F.col("first"), F.col("doc_id")).otherwise(0).alias("b")))
+    return own.select("h", F.explode(ranges).alias("r")).where("r.a < r.b").select("h", F.explode(F.sequence(F.col("r.a"), F.col("r.b") - 1)).alias("doc_id"))
+
+
 def gap_encode(ids: Column) -> Column:
     """The first id, then each distance to the next id less one."""
     return F.transform(ids, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(ids, i - 1) - 1))

@@ -17,12 +17,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import encode
 
 K, M, SEED = 31, 19, 42
+#: Symbols that the kernel handles at once; a longer sequence is cut into pieces of as many.
+PIECE = 2_000_000
 
 
 def checked(k: int, m: int) -> tuple[int, int]:
@@ -115,7 +118,8 @@ def minimizers(df: DataFrame, keys: list[str], seq: str = "seq", k: int = K, m:
     """keys, h, n: each sequence's minimizers and how many of its k-mers have them.
 
     With runs: keys, pos (of the run's first k-mer, from 0), h, n for each run of equal minimizers
-    instead. Sequences shorter than k, empty or null give no rows.
+    instead. A sequence of more than PIECE symbols gives rows for each of its pieces, so a minimizer
+    may come once a piece and a run may be cut there. Sequences shorter than k, empty or null give no rows.
     """
     k, m = checked(k, m)
     rows = df.select(*keys, F.col(seq).alias("_seq"))
@@ -124,27 +128,42 @@ def minimizers(df: DataFrame, keys: list[str], seq: str = "seq", k: int = K, m:
 
     def each(batches):
         for b in batches:
-            data, offsets = string_bytes(b["_seq"])
-            own, pos, least, names = batch_minimizers(data, offsets, k, m, canonical, seed, kind)
-            if runs:
+            for at, base, data, offsets in pieces(b["_seq"], k):
+                own, pos, least, names = batch_minimizers(data, offsets, k, m, canonical, seed, kind)
+                if not runs:
+                    order = np.lexsort((least, own))
+                    own, least, pos = own[order], least[order], pos[order]
                 first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (least[1:] != least[:-1])])) if len(own) else own
                 n = np.diff(np.concatenate([first, [len(own)]]))
-            else:
-                order = np.lexsort((least, own))
-                own, least = own[order], least[order]
-                first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (least[1:] != least[:-1])])) if len(own) else own
-                n = np.diff(np.concatenate([first, [len(own)]]))
-            at, h = pa.array(own[first]), least[first]
-            cols = {c: b[c].take(at) for c in keys}
-            if runs:
-                cols["pos"] = pa.array(pos[first], pa.int64())
-            cols["h"] = pa.array(h.view(np.int64)) if kind == "mix" else pa.array(names[h.astype(np.int64)].tolist() if len(h) else [], pa.string())
-            cols["n"] = pa.array(n, pa.int64())
-            yield pa.RecordBatch.from_pydict(cols)
+                rows_at, h = pa.array(at + own[first]), least[first]
+                cols = {c: b[c].take(rows_at) for c in keys}
+                if runs:
+                    cols["pos"] = pa.array(base + pos[first], pa.int64())
+                cols["h"] = pa.array(h.view(np.int64)) if kind == "mix" else pa.array(names[h.astype(np.int64)].tolist() if len(h) else [], pa.string())
+                cols["n"] = pa.array(n, pa.int64())
+                yield pa.RecordBatch.from_pydict(cols)
 
     return rows.mapInArrow(each, out)
 
 
+def pieces(seqs: pa.Array, k: int):
+    """(first row, first symbol, bytes, offsets) of parts of a batch with PIECE symbols at most. Pieces
+    of a long sequence overlap by k - 1 symbols, so each k-mer lies in one piece."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(seqs), 0), dtype=np.int64)
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + PIECE, side="right")))
+        data, offsets = string_bytes(seqs.slice(first, last - first))
+        if len(data) <= PIECE:
+            yield first, 0, data, offsets
+        else:  # one sequence alone
+            for a in range(0, len(data) - k + 1, PIECE):
+                part = data[a : a + PIECE + k - 1]
+                yield first, a, part, np.array([0, len(part)])
+        first = last
+
+
 def positions(df: DataFrame, keys: list[str], digits: str, k: int = K, m: int = M, canonical: bool = True, seed: int = SEED) -> DataFrame:
     """keys, pos (from 1), mmer, h, last (the last k-mer's position): one row for each m-mer."""
     k, m = checked(k, m)
@@ -163,6 +182,15 @@ def minimizers_sql(df: DataFrame, keys: list[str], digits: str, k: int = K, m: i
     return rows.where("pos <= last").select(*keys, "pos", "h")
 
 
+def runs_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, run (from 1), pos (of its first k-mer, from 0), h, n: neighbouring k-mers with one
+    minimizer, from keys, pos (from 1), h."""
+    order = Window.partitionBy(*keys).orderBy("pos")
+    new = F.coalesce((F.lag("h").over(order) != F.col("h")).cast("long"), F.lit(1).cast("long"))
+    marked = rows.withColumn("new", new).withColumn("run", F.sum("new").over(order))
+    return marked.groupBy(*keys, "run").agg((F.min("pos") - 1).cast("long").alias("pos"), F.min("h").alias("h"), F.count("*").alias("n"))
+
+
 def naive(seq: str, k: int = K, m: int = M, canonical: bool = True, seed: int = SEED, kind: str = "md5") -> list:
     """The minimizer of each k-mer, by definition."""
     digits = "".join(str((b >> 1) & 3) for b in seq.encode())

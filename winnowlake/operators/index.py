@@ -1,7 +1,8 @@
 """The index: minimizer -> colour set, with equal sets stored once.
 
-Colour sets stay in long form (one row per set and document), so a set may hold any number of
-documents. Whether two minimizers have the same set is decided by two order-free 64-bit digests
+In memory, colour sets stay in long form (one row per set and document), so a set may hold any
+number of documents; stored, they are cut into chunks of 65,536 document ids, each in the shortest
+of three forms. Whether two minimizers have the same set is decided by two order-free 64-bit digests
 and the size of the set, which Spark aggregates before it shuffles; no set is ever gathered.
 A colour set is named by a dense id in order of its least minimizer.
 """
@@ -17,13 +18,18 @@ from pyspark.sql import functions as F
 from ..functions import colors, minimizers
 
 
+#: Minimizers of a partition of the stored map, and partitions at least and at most.
+BUCKET_ROWS, MIN_BUCKETS, BUCKETS = 1_000_000, 16, 4096
+
+
 @dataclass
 class Index:
     meta: dict
     docs: DataFrame  # doc_id, uri
-    minimizer_map: DataFrame  # h, cid
+    minimizer_map: DataFrame  # h, cid; stored with bucket
     colors: DataFrame  # cid, doc_id
     colorsets: DataFrame  # cid, size, class
+    encoded: DataFrame | None = None  # cid, chunk, class, data: what a stored index has of colors
 
 
 def doc_minimizers(docs: DataFrame, seq: str = "seq", **options) -> DataFrame:
@@ -32,6 +38,26 @@ def doc_minimizers(docs: DataFrame, seq: str = "seq", **options) -> DataFrame:
     return rows.distinct()
 
 
+def invert(postings: DataFrame) -> DataFrame:
+    """h, ids, size: ascending arrays, for sets that fit in a row (index tables never need one)."""
+    return postings.groupBy("h").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).withColumn("size", F.size("ids"))
+
+
+def bucket(h="h", buckets: int = 1):
+    """The partition of the stored map that holds a minimizer."""
+    return F.pmod(F.xxhash64(h), F.lit(buckets)).cast("int")
+
+
+def pruned(index: Index, wanted: DataFrame) -> DataFrame:
+    """h, cid of the partitions of the map that hold any of wanted's h: a stored map is partitioned
+    by bucket, and only bucket numbers (BUCKETS at most) go through the driver."""
+    buckets = index.meta.get("buckets")
+    if not buckets or "bucket" not in index.minimizer_map.columns:
+        return index.minimizer_map.select("h", "cid")
+    some = [r[0] for r in wanted.select(bucket("h", buckets).alias("b")).distinct().collect()]
+    return index.minimizer_map.where(F.col("bucket").isin(some)).select("h", "cid")
+
+
 def digest_sets(members: DataFrame) -> DataFrame:
     """h, size, d1, d2: what tells colour sets apart."""
     return members.groupBy("h").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("doc_id")).alias("d1"), F.bit_xor(F.xxhash64(F.lit(7), "doc_id")).alias("d2"))
@@ -81,26 +107,44 @@ def staged(df: DataFrame, folder: str | None, name: str) -> DataFrame:
 
 
 def write(index: Index, path: str) -> None:
-    """Parquet tables below path. Minimizers are sorted, so lookups skip row groups."""
+    """Parquet tables below path. The map is partitioned by a hash of the minimizer, so a lookup reads
+    only the partitions that its minimizers fall in; sets are stored in the form of their class."""
     spark = index.docs.sparkSession
     # one number for a set in all tables: named once, then read again
-    index.minimizer_map.repartitionByRange("h").sortWithinPartitions("h").write.mode("overwrite").parquet(f"{path}/minimizer_map")
-    index.colors.repartitionByRange("cid").sortWithinPartitions("cid", "doc_id").write.mode("overwrite").parquet(f"{path}/colors")
+    buckets = max(MIN_BUCKETS, min(BUCKETS, index.minimizer_map.count() // BUCKET_ROWS))
+    named = index.minimizer_map.select("h", "cid", bucket("h", buckets).alias("bucket"))
+    named.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/minimizer_map")
+    sets = colors.encode(index.colors, index.meta["nb_docs"])
+    sets.repartitionByRange("cid").sortWithinPartitions("cid", "chunk").write.mode("overwrite").parquet(f"{path}/colors")
     index.colorsets.repartitionByRange("cid").sortWithinPartitions("cid").write.mode("overwrite").parquet(f"{path}/colorsets")
     index.docs.write.mode("overwrite").parquet(f"{path}/docs")
-    spark.createDataFrame([(json.dumps(index.meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    spark.createDataFrame([(json.dumps(index.meta | {"buckets": buckets}),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def read(spark, path: str) -> Index:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     get = lambda name: spark.read.parquet(f"{path}/{name}")
-    return Index(meta, get("docs"), get("minimizer_map"), get("colors"), get("colorsets"))
+    encoded = get("colors")
+    schema = "h long, cid long, bucket int" if meta["hash"] == "mix" else "h string, cid long, bucket int"
+    named = spark.read.schema(schema).parquet(f"{path}/minimizer_map")
+    return Index(meta, get("docs"), named, colors.decode(encoded, meta["nb_docs"]), get("colorsets"), encoded)
 
 
 def stats(index: Index) -> DataFrame:
-    """n_docs, n_minimizers, n_sets, n_members and the number of sets per class."""
+    """n_docs, n_minimizers, n_sets, n_members and the number of sets per class; of a stored index
+    also n_words, the numbers that its encoded sets hold (ids, or bitmap words of 64 bits)."""
     sets = index.colorsets.agg(
         F.count("*").alias("n_sets"), F.coalesce(F.sum("size"), F.lit(0)).alias("n_members"),
         *(F.count(F.when(F.col("class") == c, 1)).alias(f"n_{c}") for c in ("sparse", "bitmap", "complement")),
     )
-    return sets.crossJoin(index.minimizer_map.agg(F.count("*").alias("n_minimizers"))).withColumn("n_docs", F.lit(index.meta["nb_docs"]).cast("long"))
+    out = sets.crossJoin(index.minimizer_map.agg(F.count("*").alias("n_minimizers"))).withColumn("n_docs", F.lit(index.meta["nb_docs"]).cast("long"))
+    if index.encoded is None:
+        return out
+    return out.crossJoin(index.encoded.agg(F.coalesce(F.sum(F.size("data")), F.lit(0)).cast("long").alias("n_words")))
+
+
+def size_histogram(index: Index, steps: int = 10) -> DataFrame:
+    """tenth, n_sets, n_members: sets by the share of all documents that they hold."""
+    n = max(1, index.meta["nb_docs"])
+    tenth = F.least(F.lit(steps - 1), F.floor(F.col("size") * steps / n)).cast("int")
+    return index.colorsets.groupBy(tenth.alias("tenth")).agg(F.count("*").alias("n_sets"), F.sum("size").alias("n_members"))

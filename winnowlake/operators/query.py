@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import encode, minimizers
-from .index import Index
+from .index import Index, pruned
 
 
 def query_minimizers(queries: DataFrame, seq: str = "seq", **options) -> DataFrame:
     """qid, h, n of the queries' minimizers."""
-    return minimizers.minimizers(queries, ["qid"], seq, **options)
+    return minimizers.minimizers(queries, ["qid"], seq, **options).groupBy("qid", "h").agg(F.sum("n").alias("n"))
+
+
+def joined(doc_min: DataFrame, query_min: DataFrame) -> DataFrame:
+    """qid, doc_id, h, n: each query's minimizers with the documents (doc_id, h) that have them."""
+    return doc_min.join(query_min, "h").select("qid", "doc_id", "h", "n")
 
 
 def set_counts(query_min: DataFrame, minimizer_map: DataFrame) -> DataFrame:
@@ -28,6 +33,11 @@ def scores(counts: DataFrame, colors: DataFrame) -> DataFrame:
     return counts.join(colors, "cid").groupBy("qid", "doc_id").agg(F.sum("n").alias("score"))
 
 
+def placed(scored: DataFrame) -> DataFrame:
+    """qid, doc_id, score, place: all scored documents of a query, best first, ties to the smaller doc_id."""
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")))
+
+
 def kmers(queries: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     return queries.select("qid", encode.n_kmers(F.coalesce(F.col(seq), F.lit("")), k).alias("n_kmers"))
 
@@ -46,7 +56,7 @@ def run(index: Index, queries: DataFrame, ratio: float = 1.0, seq: str = "seq",
     """Hits of queries (qid and a sequence column) in an index."""
     o = index.meta
     q = query_minimizers(queries, seq, k=o["k"], m=o["m"], canonical=o["canonical"], seed=o["seed"], kind=o["hash"])
-    return ranked(scores(set_counts(q, index.minimizer_map), index.colors), kmers(queries, o["k"], seq), ratio, top_k)
+    return ranked(scores(set_counts(q, pruned(index, q)), index.colors), kmers(queries, o["k"], seq), ratio, top_k)
 
 
 def run_direct(docs: DataFrame, queries: DataFrame, ratio: float = 1.0, seq: str = "seq", **options) -> DataFrame:
@@ -54,9 +64,9 @@ def run_direct(docs: DataFrame, queries: DataFrame, ratio: float = 1.0, seq: str
     whose minimizer no query has are dropped by the join before anything is counted."""
     k = options.get("k", minimizers.K)
     q = query_minimizers(queries, seq, **options)
-    d = minimizers.minimizers(docs, ["doc_id"], seq, **options).select("doc_id", "h")
-    found = d.join(q, "h").dropDuplicates(["doc_id", "qid", "h"])
-    return ranked(found.groupBy("qid", "doc_id").agg(F.sum("n").alias("score")), kmers(queries, k, seq), ratio)
+    # a minimizer that a document repeats is one row before it meets the queries
+    d = minimizers.minimizers(docs, ["doc_id"], seq, **options).select("doc_id", "h").distinct()
+    return ranked(joined(d, q).groupBy("qid", "doc_id").agg(F.sum("n").alias("score")), kmers(queries, k, seq), ratio)
 
 
 def lines(hits: DataFrame, queries: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ lists. Hashes are MD5, which SQL engines share.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import colors, encode, minimizers
@@ -75,8 +75,8 @@ def n_suppliers(spark, sf) -> int:
 
 
 def part_sets(spark, sf) -> DataFrame:
-    """h, ids: ascending arrays; a part's set has no more ids than there are suppliers."""
-    return postings(spark, sf).groupBy("h").agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    """h, ids, size: ascending arrays; a part's set has no more ids than there are suppliers."""
+    return index.invert(postings(spark, sf))
 
 
 def rankings(spark, sf, what: str) -> DataFrame:
@@ -91,8 +91,22 @@ def ranked_lists(spark, sf, what: str) -> DataFrame:
 
 
 def both_lists(spark, sf) -> DataFrame:
-    a, b = ranked_lists(spark, sf, "l_quantity"), ranked_lists(spark, sf, "l_extendedprice")
-    return a.select("line_no", F.col("docs").alias("a")).join(b.select("line_no", F.col("docs").alias("b")), "line_no")
+    return rbo.zipped(ranked_lists(spark, sf, "l_quantity"), ranked_lists(spark, sf, "l_extendedprice"))
+
+
+def customer_lists(spark, sf) -> DataFrame:
+    """line_no, docs: each customer's orders by whole total price; other lines than parts have."""
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("line_no"), F.col("o_orderkey").alias("doc_id"), F.floor("o_totalprice").cast("long").alias("score"))
+    return rows.groupBy("line_no").agg(F.collect_list(F.struct("doc_id", "score")).alias("pairs")).select("line_no", rbo.by_ties(F.col("pairs")).alias("docs"))
+
+
+def shared_folder(spark, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; below the warehouse where
+    that is unset (tests)."""
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 ALPHABET = encode.LETTERS
@@ -188,10 +202,8 @@ def filter_threshold(spark, sf):
 
 @register(f"WITH {QM}, {DM}, {SCORED} SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS place FROM scored")
 def sort_score(spark, sf):
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
-    q, d = query_min(spark, sf), members(spark, sf)
-    scored = d.join(q, "h").groupBy("qid", "doc_id").agg(F.sum("n").alias("score"))
-    return scored.withColumn("place", F.row_number().over(order)).orderBy("qid", "place")
+    scored = query.joined(members(spark, sf), query_min(spark, sf)).groupBy("qid", "doc_id").agg(F.sum("n").alias("score"))
+    return query.placed(scored).orderBy("qid", "place")
 
 
 # ---- index ----
@@ -204,7 +216,7 @@ def agg_doc_minimizers(spark, sf):
 
 @register(f"WITH {POST} SELECT h, array_to_string(ids, ',') AS ids, len(ids)::INT AS size FROM ps")
 def agg_invert(spark, sf):
-    return part_sets(spark, sf).select("h", text("ids").alias("ids"), F.size("ids").alias("size"))
+    return part_sets(spark, sf).select("h", text("ids").alias("ids"), "size")
 
 
 @register(f"WITH {SETS} SELECT h, cid::BIGINT AS cid, rep, len(ids)::BIGINT AS size FROM named")
@@ -214,16 +226,14 @@ def agg_dedup_colorsets(spark, sf):
 
 def _stored(spark, sf) -> index.Index:
     """The index written to disk and read again."""
-    import uuid
-
-    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/index-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "index")
     index.write(index.build(docs(spark, sf), kind="md5", staging=f"{path}/_staging"), path)
     return index.read(spark, path)
 
 
 @register(f"WITH {SETS} SELECT h, cid::BIGINT AS cid FROM named")
 def sink_colormapper(spark, sf):
-    return _stored(spark, sf).minimizer_map
+    return _stored(spark, sf).minimizer_map.select("h", "cid")
 
 
 @register(f"WITH {SETS} SELECT DISTINCT cid::BIGINT AS cid, unnest(ids) AS doc_id FROM named WHERE h = rep")
@@ -246,7 +256,7 @@ def agg_n_docs(spark, sf):
 
 @register(f"WITH {QM}, {DM} SELECT qid, doc_id, h, n FROM qm JOIN dm USING (h)")
 def join_minimizer(spark, sf):
-    return members(spark, sf).join(query_min(spark, sf), "h").select("qid", "doc_id", "h", "n")
+    return query.joined(members(spark, sf), query_min(spark, sf))
 
 
 @register(f"WITH {QM}, {SETS} SELECT qid, cid::BIGINT AS cid, unnest(ids) AS doc_id, n::BIGINT AS n FROM (SELECT qid, cid, any_value(ids) AS ids, sum(n) AS n FROM qm JOIN named USING (h) GROUP BY qid, cid)")
@@ -288,18 +298,19 @@ HASHED = "(({0} * 2654435761) % 2147483648)"
 
 
 @register(
-    f"WITH i AS (SELECT DISTINCT {HASHED.format('l_partkey')} AS h, l_partkey AS cid FROM lineitem WHERE l_quantity >= 49),"
+    f"WITH i AS (SELECT DISTINCT {HASHED.format('l_partkey')} AS h, l_partkey AS cid FROM lineitem),"
     f" s AS (SELECT h % {SLOTS} AS slot, arg_min((cid << {BITS}) | (h & {(1 << BITS) - 1}), h) AS packed FROM i GROUP BY 1),"
-    f" q AS (SELECT p_partkey AS qid, {HASHED.format('p_partkey')} AS h FROM part)"
+    f" q AS (SELECT o_orderkey AS qid, {HASHED.format('o_orderkey')} AS h FROM orders)"
     f" SELECT qid, h, packed >> {BITS} AS cid FROM q JOIN s ON q.h % {SLOTS} = s.slot WHERE (packed & {(1 << BITS) - 1}) = (h & {(1 << BITS) - 1})"
 )
 def filter_alien(spark, sf):
-    """Lookups without stored keys: check bits let some unknown minimizers through."""
+    """Lookups without stored keys: check bits let some unknown minimizers through. Order keys are
+    looked up among part keys, which most of them exceed."""
     h = lambda c: F.expr(HASHED.format(c))
-    known = table(spark, sf, "lineitem").where("l_quantity >= 49").select(h("l_partkey").alias("h"), F.col("l_partkey").alias("cid")).distinct()
+    known = table(spark, sf, "lineitem").select(h("l_partkey").alias("h"), F.col("l_partkey").alias("cid")).distinct()
     packed = encode.pack_cid(F.col("cid"), encode.check_bits(F.col("h"), BITS), BITS)
     slots = known.groupBy(F.pmod("h", F.lit(SLOTS)).alias("slot")).agg(F.min_by(packed, "h").alias("packed"))
-    probe = table(spark, sf, "part").select(F.col("p_partkey").alias("qid"), h("p_partkey").alias("h"))
+    probe = table(spark, sf, "orders").select(F.col("o_orderkey").alias("qid"), h("o_orderkey").alias("h"))
     return query.alien_filter(probe, slots, SLOTS, BITS).select("qid", "h", "cid")
 
 
@@ -396,14 +407,9 @@ def complement_set(spark, sf):
 
 @register(f"WITH {POST} SELECT h, array_to_string(list_sort(list_filter(range(n), lambda x: NOT list_contains(ids, x))), ',') AS absent FROM ps, nd")
 def set_complement(spark, sf):
-    """The same for sets in long form: ids fall in the gaps between neighbours, so each gap
-    is expanded on its own and no pair of a set and an id is formed that the result lacks."""
-    n = n_suppliers(spark, sf)
-    order = Window.partitionBy("h").orderBy("doc_id")
-    own = postings(spark, sf).withColumn("after", F.lead("doc_id").over(order)).withColumn("first", F.row_number().over(order) == 1)
-    ranges = F.array(F.struct((F.col("doc_id") + 1).alias("a"), F.coalesce("after", F.lit(n)).alias("b")), F.struct(F.lit(0).cast("long").alias("a"), F.when(F.col("first"), F.col("doc_id")).otherwise(0).alias("b")))
-    gaps = own.select("h", F.explode(ranges).alias("r")).where("r.a < r.b").select("h", F.explode(F.sequence(F.col("r.a"), F.col("r.b") - 1)).alias("doc_id"))
-    absent = gaps.groupBy("h").agg(F.sort_array(F.collect_list("doc_id")).alias("absent"))
+    """The same for sets in long form."""
+    own = postings(spark, sf)
+    absent = colors.absent(own, n_suppliers(spark, sf)).groupBy("h").agg(F.sort_array(F.collect_list("doc_id")).alias("absent"))
     return own.select("h").distinct().join(absent, "h", "left").select("h", F.coalesce(text("absent"), F.lit("")).alias("absent"))
 
 
@@ -433,11 +439,7 @@ def win_sliding_min(spark, sf):
 
 @register(f"WITH {Q}, r AS (SELECT *, CASE WHEN h = lag(h) OVER (PARTITION BY item_id ORDER BY pos) THEN 0 ELSE 1 END AS new FROM qk), g AS (SELECT *, sum(new) OVER (PARTITION BY item_id ORDER BY pos) AS run FROM r) SELECT item_id AS qid, run::BIGINT AS run, min(pos) - 1 AS pos, any_value(h) AS h, count(*) AS n FROM g GROUP BY item_id, run")
 def win_runs(spark, sf):
-    order = Window.partitionBy("qid").orderBy("pos")
-    rows = minimizers.minimizers_sql(digits(spark, sf), ["qid"], "e")
-    new = F.coalesce((F.lag("h").over(order) != F.col("h")).cast("long"), F.lit(1).cast("long"))
-    marked = rows.withColumn("new", new).withColumn("run", F.sum("new").over(order))
-    return marked.groupBy("qid", "run").agg((F.min("pos") - 1).cast("long").alias("pos"), F.min("h").alias("h"), F.count("*").alias("n"))
+    return minimizers.runs_of(minimizers.minimizers_sql(digits(spark, sf), ["qid"], "e"), ["qid"])
 
 
 @register(f"WITH {QM} SELECT qid, h, n FROM qm")
@@ -455,12 +457,7 @@ def win_tie_groups(spark, sf):
 @register(f"WITH {LISTS}, {DEPTH} SELECT line_no, d::INT AS d, x FROM xd")
 def win_rbo_prefix(spark, sf):
     """The overlap of two rankings at each depth, by a running sum."""
-    both = both_lists(spark, sf).withColumn("len", F.least(F.size("a"), F.size("b")))
-    at = F.transform(F.array_intersect("a", "b"), lambda v: F.greatest(F.array_position("a", v), F.array_position("b", v)))
-    done = both.select("line_no", "len", F.explode(at).alias("d")).where("d <= len").groupBy("line_no", "d").agg(F.count("*").alias("new"))
-    depth = both.select("line_no", F.explode(F.sequence(F.lit(1), "len")).alias("d"))
-    run = Window.partitionBy("line_no").orderBy("d")
-    return depth.join(done, ["line_no", "d"], "left").select("line_no", F.col("d").cast("int").alias("d"), F.coalesce(F.sum("new").over(run), F.lit(0)).alias("x"))
+    return rbo.overlaps(both_lists(spark, sf)).withColumn("d", F.col("d").cast("int"))
 
 
 @register(f"WITH {LISTS}, {DEPTH} SELECT line_no, max(xx) AS overlap FROM xd GROUP BY line_no")
@@ -510,17 +507,14 @@ def agg_rbo_mean(spark, sf):
 
 @register(f"WITH {LISTS}, l AS (SELECT line_no, count(*) AS n FROM la GROUP BY 1) SELECT line_no, n::INT AS length, n >= 30 AS valid FROM l")
 def filter_min_size(spark, sf):
-    both = both_lists(spark, sf)
-    length = F.least(F.size("a"), F.size("b"))
-    return both.select("line_no", length.alias("length"), (length >= 30).alias("valid"))
+    return rbo.sized(both_lists(spark, sf), 30).select("line_no", "length", "valid")
 
 
-@register(f"WITH {LISTS} SELECT x.line_no, x.n AS left_size, y.n AS right_size FROM (SELECT line_no, count(*)::INT AS n FROM la GROUP BY 1) x JOIN (SELECT line_no, count(*)::INT AS n FROM lb WHERE line_no % 2 = 0 GROUP BY 1) y USING (line_no)")
+@register(f"WITH {LISTS} SELECT x.line_no, x.n AS left_size, y.n AS right_size FROM (SELECT line_no, count(*)::INT AS n FROM la GROUP BY 1) x JOIN (SELECT o_custkey AS line_no, count(*)::INT AS n FROM orders GROUP BY 1) y USING (line_no)")
 def join_lines_zip(spark, sf):
-    """Lines of two results meet by number; the shorter side decides."""
-    right = ranked_lists(spark, sf, "l_extendedprice").where("line_no % 2 = 0")
-    left = ranked_lists(spark, sf, "l_quantity")
-    return left.select("line_no", F.size("docs").alias("left_size")).join(right.select("line_no", F.size("docs").alias("right_size")), "line_no")
+    """Lines of two results meet by number; lines that one side lacks are left out."""
+    both = rbo.zipped(ranked_lists(spark, sf, "l_quantity"), customer_lists(spark, sf))
+    return both.select("line_no", F.size("a").alias("left_size"), F.size("b").alias("right_size"))
 
 
 # ---- sources ----
@@ -539,6 +533,7 @@ def src_results(spark, sf):
 @register("SELECT (row_number() OVER (ORDER BY s_suppkey) - 1)::INT AS doc_id, s_name AS uri FROM supplier")
 def src_file_list(spark, sf):
     """A white-space separated list and its names' places."""
+    # a list file is one text: the names of all documents, as many as an index's driver holds anyway
     text = table(spark, sf, "supplier").groupBy().agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: x["s_name"]), " \n").alias("value"))
     return lists.frame(text)
 
@@ -546,11 +541,9 @@ def src_file_list(spark, sf):
 @register("SELECT conv_id, turn, 'c' || conv_id || '_' || turn AS name, regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g') AS seq FROM conversations")
 def src_fastx(spark, sf):
     """Conversations as sequence records in FASTA files (several records a file), read back."""
-    import uuid
-
     from ..sources import fastx
 
-    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/fasta-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "fasta")
     rows = table(spark, sf, "conversations").select("conv_id", "turn", encode.letters(F.coalesce("text", F.lit(""))).alias("seq"))
     rows.select(F.concat(F.lit(">c"), "conv_id", F.lit("_"), "turn", F.lit(" a turn\n"), "seq")).write.text(path)
     back = fastx.read(spark, path)

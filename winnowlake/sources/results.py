@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -19,12 +19,15 @@ def parse(lines: DataFrame) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 0), line of a text file.
-
-    The number comes with the line: a file is read whole, in order, by one task, so files beyond
-    a task's memory should be Parquet with a line_no instead."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split(F.regexp_replace("value", "\n$", ""), "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+    """line_no (from 0), line of a text file, or of several in the order of their names.
+
+    A file is read in splits, each by a task of its own; a line's number is its place in the split
+    and the number of lines in the splits before it. Only those counts meet in one task."""
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    base = splits.select("file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("base"))
+    return rows.join(F.broadcast(base), ["file", "block"]).select((F.col("base") + F.col("at")).alias("line_no"), "line")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
