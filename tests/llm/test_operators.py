@@ -347,7 +347,9 @@ def brute_nearest(vectors, q):
     return d[:10]
 
 
-def test_nearest(spark, sf):
+@pytest.mark.parametrize("scale", ["0.001", "0.1"])
+def test_nearest(spark, scale):
+    sf = f"/root/testdata/sf{scale}"
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in common.table(spark, sf, "embeddings").collect()]
     got = {}
     for r in op8_permutation.op8_permutation(spark, sf).orderBy("query_id", "rank").collect():
@@ -359,17 +361,37 @@ def test_nearest(spark, sf):
     assert found / (10 * len(got)) >= 0.9
 
 
+def test_nearest_exact(spark, sf, monkeypatch):
+    """Many sections and blocks, everything reranked: brute force."""
+    monkeypatch.setattr(op8_permutation, "SECTION", 60)
+    monkeypatch.setattr(op8_permutation, "BLOCK", 2)
+    vectors = common.table(spark, sf, "embeddings")
+    rows = [(r.vec_id, np.array(r.embedding, float)) for r in vectors.collect()]
+    got = {}
+    for r in op8_permutation.search(vectors, vectors.where("vec_id % 100 = 0"), exact=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.vec_id))
+    assert got == {q: brute_nearest(rows, q) for q, _ in rows if q % 100 == 0}
+
+
 def test_nearest_odd(spark):
-    rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [float("nan"), 1.0]), (7, [1.0]), (8, [2.0, 0.0]), (None, [1.0, 1.0]), (200, [float("inf"), 1.0]), (9, [1.0, None])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in op8_permutation.search(df, df.where("vec_id % 100 = 0")).collect())
-    assert got == [(0, 1, 3, 0.0), (0, 2, 100, 0.0), (0, 3, 8, 1.0), (100, 1, 0, 0.0), (100, 2, 3, 0.0), (100, 3, 8, 1.0)]
+    rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [float("nan"), 1.0]), (7, [1.0]), (8, [2.0, 0.0]), (None, [1.0, 1.0]), (200, [float("inf"), 1.0]), (9, [1.0, None]), (100, [5.0, 0.0]), (8, [2.0, 0.0])]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, section string, q int")
+    want = [(0, 1, 3, 0.0), (0, 2, 100, 0.0), (0, 3, 8, 1.0), (100, 1, 0, 0.0), (100, 2, 3, 0.0), (100, 3, 8, 1.0)]
+    for exact in (False, True):
+        got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in op8_permutation.search(df, df.where("vec_id % 100 = 0"), exact=exact).collect())
+        assert got == want
     assert op8_permutation.search(df.limit(0), df.limit(0)).count() == 0
 
 
 def test_footrule():
-    a, b = np.array([[0, 1, 2]]), np.array([[2, 1, 0], [0, 1, 2], [3, 4, 5]])
-    assert op8_permutation.footrule(a, b, 6).tolist() == [[4, 0, 12]]
+    """Postings give the footrule distance of two prefixes, by its definition."""
+    rng = np.random.default_rng(2)
+    orders = np.array([rng.permutation(12)[:5] for _ in range(30)])
+    files = op8_permutation.Files(orders, 12)
+    for q in orders[:5]:
+        place = lambda order: np.array([list(order).index(p) if p in order else 5 for p in range(12)])
+        want = [np.abs(place(q) - place(o)).sum() for o in orders]
+        assert (5 * 6 - 2 * files.gains(q)).tolist() == want
 
 
 def test_gradient():
