@@ -64,8 +64,8 @@ def run_direct(docs: DataFrame, queries: DataFrame, ratio: float = 1.0, seq: str
     whose minimizer no query has are dropped by the join before anything is counted."""
     k = options.get("k", minimizers.K)
     q = query_minimizers(queries, seq, **options)
-    # a minimizer that a document repeats is one row before it meets the queries
-    d = minimizers.minimizers(docs, ["doc_id"], seq, **options).select("doc_id", "h").distinct()
+    # only minimizers that a query has are shuffled, and one that a document repeats is one row
+    d = minimizers.minimizers(docs, ["doc_id"], seq, **options).select("doc_id", "h").join(q.select("h").distinct(), "h", "left_semi").distinct()
     return ranked(joined(d, q).groupBy("qid", "doc_id").agg(F.sum("n").alias("score")), kmers(queries, k, seq), ratio)
 
 
