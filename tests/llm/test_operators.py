@@ -24,6 +24,22 @@ def odd(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, check string, fp int")
 
 
+#: Names that operators use for columns of their own.
+OWN = "row check m h g start n source at one two wanted _slot _b _m _id _w _gone _node _first _text own node root call signature text_id fp leaf home shard score kept failed".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Null, empty, wordless and very long texts, ties, repeated rows, null and repeated ids, and
+    columns named as the operators' own."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: " ".join(f"word{x}" for x in rng.integers(0, 5000, n))
+    a, long, shared = draw(200), draw(30_000), draw(80)
+    texts = [(0, None), (1, ""), (2, " \n\t"), (3, a), (4, a), (4, a), (5, long), (6, long + " end"), (7, draw(90) + " " + shared), (8, draw(90) + " " + shared + " " + draw(90)), (9, draw(120)), (9, draw(120)), (None, draw(120)), (None, a), (10, "short one"), (11, "x" * 100_000)]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in OWN)
+    return spark.createDataFrame([(k, t, len(t or ""), *["x"] * len(OWN)) for k, t in texts], schema).repartition(3)
+
+
 @pytest.fixture(scope="module")
 def documents(spark, sf):
     return {r.doc_id: r.text for r in common.table(spark, sf, "documents").select("doc_id", "text").collect()}
@@ -62,6 +78,9 @@ def check_packing(pieces, texts):
 def test_packing(spark, sf, documents, odd):
     check_packing(op1_packing.op1_packing(spark, sf).collect(), documents)
     check_packing(op1_packing.pack(odd.where("doc_id <> 3"), docs_per_shard=3).collect(), {i: t for i, t in enumerate(ODD) if i != 3})
+    pieces = op1_packing.pack(odd, docs_per_shard=2).collect()  # repeated rows, a null doc_id
+    want = sorted([len(ids_of(t, 2)) for t in [*ODD, "a", "no id"]])
+    assert sorted(r.doc_tokens for r in pieces if r.start == 0) == want and sum(r.length for r in pieces) == sum(want)
     assert op1_packing.pack(odd.limit(0)).count() == 0
 
 
@@ -307,6 +326,93 @@ def test_language(spark, sf, odd):
     assert {r.lang_pred for r in op6_language.predict(odd, none).collect()} == {"und"}
 
 
+def test_packing_neighbours_by_definition():
+    """BM25 scores and order equal the plain formula, over all terms; a seed's answers leave out no document that shares a term."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"t{x}" for x in np.minimum(rng.zipf(1.4, rng.integers(1, 40)), 60)) for _ in range(40)]
+    words = [t.split() for t in texts]
+    n, mean = len(words), sum(map(len, words)) / len(words)
+    df = Counter(w for x in words for w in set(x))
+
+    def bm25(q, d):
+        c, norm = Counter(words[d]), op1_packing.K1 * (1 - op1_packing.BETA + op1_packing.BETA * len(words[d]) / mean)
+        return sum(np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * (op1_packing.K1 + 1) / (c[w] + norm) for w in set(words[q]) if df[w] > 1)
+
+    offsets, flat = common.split_words(pa.array(texts))
+    codes, distinct = common.coded_words(flat)
+    index = op1_packing.BM25(offsets, codes, len(distinct))
+    for q in range(n):
+        unused = rng.random(n) < 0.7
+        unused[q] = False
+        got = index.neighbours(q, unused, None).tolist()
+        score = [bm25(q, d) for d in got]
+        assert set(got) == {d for d in np.flatnonzero(unused) if bm25(q, d) > 0}
+        assert all(a >= b - 1e-4 for a, b in zip(score, score[1:]))
+        assert set(index.answers(q, unused)) == set(got)
+
+
+def brute_mixture(weight, like):
+    """The best language set of one document: expectation-maximisation for every subset, by loops."""
+    best = None
+    p = np.exp(like - like.max(1, keepdims=True))
+    for bits in range(1, 1 << like.shape[1]):
+        some = [k for k in range(like.shape[1]) if bits >> k & 1]
+        share = {k: 1 / len(some) for k in some}
+        for _ in range(60):
+            got = dict.fromkeys(some, 0.0)
+            for w, x in zip(weight, p):
+                total = sum(share[k] * x[k] for k in some)
+                for k in some:
+                    got[k] += w * share[k] * x[k] / total
+            share = {k: v / weight.sum() for k, v in got.items()}
+        value = sum(w * np.log(sum(share[k] * x[k] for k in some)) for w, x in zip(weight, p))
+        value -= 0.5 * (2 * len(some) - 1) * np.log(weight.sum() + 1)
+        if best is None or value > best[0] + 1e-9:
+            best = value, share
+    return best[1]
+
+
+def test_mixtures_equal_all_subsets():
+    """The growing set against every subset of four languages, on documents that mix one to four of them."""
+    rng = np.random.default_rng(9)
+    own, weight, like, mixed = [], [], [], []
+    for d in range(24):
+        k = 1 + d % 4
+        some = rng.choice(4, k, replace=False)
+        n = int(rng.integers(20, 60)) * k
+        truth = some[rng.integers(0, k, n)]
+        x = rng.normal(-9, 1.5, (n, 4))
+        x[np.arange(n), truth] += 7
+        own, like, mixed = own + [d] * n, [*like, x], [*mixed, set(some.tolist())]
+        weight.append(rng.integers(1, 4, n).astype(float))
+    own, like, weight = np.array(own), np.concatenate(like), np.concatenate(weight)
+    got = op6_language.mixtures(own, weight, like, 25)
+    assert not got[24].any()
+    right = 0
+    for d in range(24):
+        want = brute_mixture(weight[own == d], like[own == d])
+        assert {k for k in range(4) if got[d, k] > 0} == set(want)
+        assert all(abs(got[d, k] - v) < 0.02 for k, v in want.items())
+        right += set(want) == mixed[d]
+    assert right >= 22
+
+
+def test_language_odd(spark, clashing):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("junk"), "doc_id")).otherwise(F.col("lang")).alias("lang"))
+    few = op6_language.LANGUAGES
+    try:
+        op6_language.LANGUAGES = 4
+        model = op6_language.fit(docs)
+    finally:
+        op6_language.LANGUAGES = few
+    assert len(model[0]) == 4 and not any(k.startswith("junk") for k in model[0])
+    got = op6_language.predict(clashing, model).collect()
+    assert len(got) == clashing.count() and op6_language.predict(clashing.limit(0), model).count() == 0
+    for r in got:
+        assert (r.lang_pred == "und") == (not r.languages) and len(r.languages) == len(r.proportions)
+        assert not r.languages or (r.languages[0] == r.lang_pred and abs(sum(r.proportions) - 1) < 1e-6 and r.proportions[0] == r.score)
+
+
 @given(st.lists(st.integers(0, 2**17 - 1), max_size=300), st.sampled_from([16, 17, 20]))
 @settings(max_examples=60, deadline=None)
 def test_bits(ids, width):
@@ -315,6 +421,13 @@ def test_bits(ids, width):
     assert op7_bitpack.width_of(49408) == 16 and op7_bitpack.width_of(65537) == 17
 
 
+def test_packing_of_whole_bytes():
+    """Ids of 16 bits are copied; the general way gives the same bytes."""
+    x = np.random.default_rng(0).integers(0, 1 << 16, 1000).astype(np.uint32)
+    bits = (x[:, None] >> np.arange(16, dtype=np.uint32)) & 1
+    assert op7_bitpack.pack_bits(x, 16) == np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+
+
 def test_random_access():
     import io
 
@@ -331,11 +444,31 @@ def test_bitpack(spark, sf, documents, odd, tmp_path):
         assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     folder = f"file://{tmp_path}/odd"
-    assert op7_bitpack.read(op7_bitpack.write(odd, folder), folder).count() == 12
+    got = sorted(op7_bitpack.read(op7_bitpack.write(odd, folder), folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, 0, 1, 2, 3, 3, 4, 5, 6, 7, 8, 9]
+    assert sum(r.n_tokens for r in got) == sum(len(ids_of(t, 1)) for t in [*ODD, "a", "no id"])
     folder = f"file://{tmp_path}/none"
     assert op7_bitpack.read(op7_bitpack.write(odd.limit(0), folder), folder).count() == 0
 
 
+def test_rows_of_one_id_lie_in_several_files(spark, tmp_path):
+    rows = [(1, "word " * (i % 50)) for i in range(300)] + [(2, "long " * 5000), (0, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = f"file://{tmp_path}/x"
+    manifest = op7_bitpack.write(docs, folder)
+    got = sorted(op7_bitpack.read(manifest, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [0] + [1] * 300 + [2] and manifest.count() >= 6 and max(r.n_docs for r in manifest.collect()) < 150
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((k, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for k, t in rows for x in [ids_of(t, 1)])
+
+
+@given(st.lists(st.text(max_size=60), max_size=10))
+@settings(max_examples=300, deadline=None)
+def test_short_way_equals_the_tokenizer(texts):
+    ids, cuts = common.token_ids(pa.array(texts, pa.string()), common.vocabulary_path(common.WORD_BPE), 7)
+    assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [ids_of(t, 7) for t in texts]
+
+
 def test_tokens_equal_the_tokenizer():
     ids, cuts = common.token_ids(pa.array(ODD), common.vocabulary_path(common.WORD_BPE), 7)
     assert [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])] == [ids_of(t, 7) for t in ODD]
@@ -504,22 +637,6 @@ def test_bpe_round_trip(spark, odd):
     assert op10_bpe.decode(op10_bpe.encode(odd)).count() == 12 and op10_bpe.round_trip(odd.limit(0)).count() == 0
 
 
-#: Names that operators use for columns of their own.
-OWN = "row check m h g start n source at one two wanted _slot _b _m _id _w _gone _node _first _text own node root call signature text_id fp leaf home shard score kept failed".split()
-
-
-@pytest.fixture(scope="module")
-def clashing(spark):
-    """Null, empty, wordless and very long texts, ties, repeated rows, null and repeated ids, and
-    columns named as the operators' own."""
-    rng = np.random.default_rng(8)
-    draw = lambda n: " ".join(f"word{x}" for x in rng.integers(0, 5000, n))
-    a, long, shared = draw(200), draw(30_000), draw(80)
-    texts = [(0, None), (1, ""), (2, " \n\t"), (3, a), (4, a), (4, a), (5, long), (6, long + " end"), (7, draw(90) + " " + shared), (8, draw(90) + " " + shared + " " + draw(90)), (9, draw(120)), (9, draw(120)), (None, draw(120)), (None, a), (10, "short one"), (11, "x" * 100_000)]
-    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in OWN)
-    return spark.createDataFrame([(k, t, len(t or ""), *["x"] * len(OWN)) for k, t in texts], schema).repartition(3)
-
-
 def rows_of(df):
     return sorted(((r.doc_id is None, r.doc_id or 0), r.text or "") for r in df.collect())
 

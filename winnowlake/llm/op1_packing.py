@@ -1,14 +1,17 @@
 """Lexical retrieval packing (operator 1).
 
-Documents are dealt to shards of a bounded number of rows by a hash of doc_id. Each shard builds
+Documents are dealt to shards of a bounded amount of text by a hash of their row. Each shard builds
 a BM25 inverted index over its own documents. A seed (the first unused document by doc_id, or
-the document whose tail opens a window) asks the index for its best unused neighbours, which
-fill its window of 4096 tokens one after the other; a document that does not fit is cut and its
-rest opens the next window. So each window but a shard's last is full. The last is cut into
-sequences whose lengths are powers of two, which need no padding.
-
-Defined results: null and empty texts are one piece (the end id alone); repeated rows are
-documents of their own; ties in BM25 go to the smaller doc_id; an empty table gives no rows.
+the document whose tail opens a window) asks the index for its unused neighbours, which fill its
+window of 4096 tokens one after the other, best first; a document that does not fit is cut and its
+rest opens the next window. A seed asks with its heaviest terms; when no answer is left and its
+window isn't full, with all its terms; only then does the next unused document follow. So each
+window but a shard's last is full. The last is cut into sequences whose lengths are powers of two,
+which need no padding.
+
+Defined results: null and empty texts are one piece (the end id alone); repeated rows, also of a
+null doc_id, are documents of their own; ties in BM25 go to the smaller doc_id; a text of any length
+is cut as often as it takes; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ from . import common
 
 WINDOW = 4096
 END_ID = 2
-DOCS_PER_SHARD = 2048
-#: A seed asks with its terms of highest BM25 weight, and takes at most this many answers.
-QUERY_TERMS, ANSWERS = 24, 64
+#: Documents of a shard on average, and bytes of text, whichever makes more shards.
+DOCS_PER_SHARD, SHARD_BYTES = 2048, 16_000_000
+#: Terms of highest BM25 weight with which a seed asks first.
+QUERY_TERMS = 24
 K1, BETA = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, shard long, seed_doc_id long"
 
@@ -49,17 +53,22 @@ class BM25:
         self.by_doc = np.argsort(self.doc, kind="stable").astype(np.int32)
         self.first = np.searchsorted(self.doc[self.by_doc], np.arange(n + 1))
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with seed, best first."""
+    def neighbours(self, seed: int, unused: np.ndarray, terms: int | None = QUERY_TERMS) -> np.ndarray:
+        """Unused documents that share one of seed's heaviest terms (None: any term), best first."""
         own = self.by_doc[self.first[seed] : self.first[seed + 1]]
         own = own[self.df[self.term[own]] > 1]  # a term of one document finds no neighbour
-        terms = self.term[own[np.argsort(-self.weight[own], kind="stable")[:QUERY_TERMS]]]
-        if not len(terms):
-            return terms
-        at = common.gather(self.starts[terms], self.df[terms])
+        asked = self.term[own[np.argsort(-self.weight[own], kind="stable")[:terms]]]
+        if not len(asked):
+            return asked
+        at = common.gather(self.starts[asked], self.df[asked])
         score = np.bincount(self.doc[at], self.weight[at], self.n)
         found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")[:ANSWERS]]
+        return found[np.argsort(-score[found], kind="stable")]
+
+    def answers(self, seed: int, unused: np.ndarray):
+        """All unused documents that share a term with seed: first by its heaviest terms, then by all."""
+        yield from self.neighbours(seed, unused)
+        yield from self.neighbours(seed, unused, None)
 
 
 def plan(lengths: np.ndarray, index: BM25, window: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -86,7 +95,7 @@ def plan(lengths: np.ndarray, index: BM25, window: int) -> list[tuple[int, int,
             if filled == window:
                 sequence, filled = sequence + 1, 0
         if queue is None:
-            queue = iter(index.neighbours(seed, unused)) if filled else iter(())
+            queue = index.answers(seed, unused) if filled else iter(())
     return halved(pieces, sequence, filled)
 
 
@@ -110,7 +119,8 @@ def pack(docs: DataFrame, window: int = WINDOW, docs_per_shard: int = DOCS_PER_S
     spark, path = docs.sparkSession, vocabulary or common.vocabulary_path(common.WORD_BPE)
     common.small_batches(spark)
     rows = common.id_text(docs)
-    shards = max(1, math.ceil(rows.count() / docs_per_shard))
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    shards = max(1, math.ceil(size["n"] / docs_per_shard), math.ceil((size["bytes"] or 0) / SHARD_BYTES))
 
     def shard(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -133,7 +143,8 @@ def pack(docs: DataFrame, window: int = WINDOW, docs_per_shard: int = DOCS_PER_S
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         return pa.table({k: pa.array([r[i] for r in out], pa.int64()) for i, k in enumerate(names)})
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    # by row, so that rows of one id, or without one, don't meet in a shard
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)))
     return dealt.groupBy("shard").applyInArrow(shard, SCHEMA)
 
 

@@ -3,12 +3,16 @@
 Training counts character n-grams (one to four, with word boundaries) of labelled documents per
 language, in a hashed table of fixed size. At inference each different word gets its n-gram
 log-likelihood in each language. A document is a mixture of languages: expectation-maximisation
-over its words estimates the proportions. Language sets are compared by penalised likelihood
-(BIC): the set of one, two or three languages with the largest proportions is kept that has the
-best value, and its largest proportion names the language; that proportion is the score.
-
-Defined results: null text and text without a letter are ``und`` with score 0; ties go to the
-language that sorts first; without any training row every document is ``und``.
+over its words estimates the proportions. The language set grows by the next largest proportion as
+long as the penalised likelihood (BIC) improves, up to all learned languages; expectation-
+maximisation within the set gives its proportions. The largest proportion names the language and
+is the score.
+
+Defined results: null text and text without a letter are ``und`` with score 0 and no set; ties go to
+the language that sorts first; without any training row every document is ``und``; rows are
+independent, so repeated rows change nothing; texts may have any length; extra columns are ignored;
+a null doc_id stays null; an empty table gives no rows. LANGUAGES bounds the labels that are learned:
+the most frequent ones (ties: the first in order); rows with another label don't train.
 """
 
 from __future__ import annotations
@@ -25,7 +29,9 @@ BUCKETS = 1 << 16
 MAX_N = 4
 #: Labelled documents per language that training reads, at most about so many (chosen by a hash of doc_id).
 SAMPLE_PER_LANGUAGE = 3000
-ROUNDS, SET_ROUNDS, LARGEST_SET = 8, 4, 3
+ROUNDS, SET_ROUNDS = 8, 4
+#: Languages that are learned at most; the model has BUCKETS numbers for each.
+LANGUAGES = 200
 #: Pseudo-count of an n-gram that a language hasn't shown.
 SMOOTHING = 0.5
 
@@ -65,14 +71,12 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[
     (doc_id, text, lang). Its size is fixed; texts stay on the executors."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "lang").where("lang is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(sizes)
+    frequent = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    langs = sorted(r["lang"] for r in frequent)
     if not langs:
         return [], np.zeros((0, BUCKETS))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 20))
-    share = F.lit(0)
-    for k in langs:
-        share = F.when(F.col("lang") == k, int(min(1.0, per_language / sizes[k]) * (1 << 20))).otherwise(share)
+    shares = spark.createDataFrame([(r["lang"], int(min(1.0, per_language / r["n"]) * (1 << 20))) for r in frequent], "lang string, share int")
     number = {k: i for i, k in enumerate(langs)}
 
     def count(batches):
@@ -92,7 +96,7 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[
         yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int32()), "g": pa.array(g, pa.int32()), "n": pa.array(total[k, g], pa.int64())})
 
     common.small_batches(spark)
-    chosen = docs.select("doc_id", "lang", "text").where("lang is not null and text is not null").where(place < share)
+    chosen = docs.select("doc_id", "lang", "text").where("text is not null").join(F.broadcast(shares), "lang").where(place < F.col("share"))
     # at most languages x buckets rows, whatever the input's size
     got = chosen.select("lang", "text").mapInArrow(count, "k int, g int, n long").groupBy("k", "g").agg(F.sum("n").alias("n")).toPandas()
     table = np.full((len(langs), BUCKETS), SMOOTHING)
@@ -100,54 +104,57 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> tuple[list[
     return langs, np.log(table / table.sum(1, keepdims=True))
 
 
-def mixtures(own: np.ndarray, weight: np.ndarray, like: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each document the language with the largest proportion in its best set, and that proportion.
+def mixtures(own: np.ndarray, weight: np.ndarray, like: np.ndarray, n_docs: int) -> np.ndarray:
+    """Proportions (documents, languages) of each document's best language set, 0 outside of it.
 
     own: document of each (document, word) pair, ascending; weight: how often; like: the pair's
     log-likelihoods (pairs, languages).
     """
     n_lang = like.shape[1]
-    top = like.max(1, keepdims=True)
-    p = np.exp(like - top)
-    starts = np.searchsorted(own, np.arange(n_docs + 1))
-    full = np.flatnonzero(np.diff(starts))
-
-    def per_doc(x: np.ndarray) -> np.ndarray:
-        out = np.zeros((n_docs, x.shape[1]))
-        out[full] = np.add.reduceat(x, starts[full], axis=0)
-        return out
-
-    total = np.maximum(per_doc(weight[:, None]), 1e-300)
+    out = np.zeros((n_docs, n_lang))
+    live = np.unique(own)  # documents with words, and then those whose set still grows
+    own = np.searchsorted(live, own)
+    p = np.exp(like - like.max(1, keepdims=True))
 
     def improve(share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions after some rounds, and the log-likelihood that they give."""
         for _ in range(rounds):
             joint = share[own] * p
-            joint *= (weight / joint.sum(1))[:, None]
-            share = np.maximum(per_doc(joint) / total, 1e-12 * (share > 0))
-        return share, per_doc((weight * np.log((share[own] * p).sum(1)))[:, None])[:, 0]
+            joint *= (weight / np.maximum(joint.sum(1), 1e-300))[:, None]
+            share = np.maximum(np.add.reduceat(joint, starts, axis=0) / total[:, None], 1e-12 * (share > 0))
+        return share, np.add.reduceat(weight * np.log(np.maximum((share[own] * p).sum(1), 1e-300)), starts)
 
-    share, _ = improve(np.full((n_docs, n_lang), 1 / n_lang), ROUNDS)
+    if not len(live):
+        return out
+    starts = np.searchsorted(own, np.arange(len(live)))
+    total = np.add.reduceat(weight, starts)
+    share, _ = improve(np.full((len(live), n_lang), 1 / n_lang), ROUNDS)
     # the largest first; on ties the language that sorts first
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
-    best, lang, score = np.full(n_docs, -np.inf), np.zeros(n_docs, int), np.zeros(n_docs)
-    for k in range(1, min(LARGEST_SET, n_lang) + 1):
-        chosen = rank < k
-        kept = np.where(chosen, np.maximum(share, 1e-6), 0)
-        if k == 1:
-            kept = chosen.astype(float)
-            floor = np.where(chosen, 1.0, 0)
-            value = per_doc((weight * np.log(np.maximum((floor[own] * p).sum(1), 1e-300)))[:, None])[:, 0]
-        else:
-            kept, value = improve(kept / kept.sum(1, keepdims=True), SET_ROUNDS)
-        value = value - 0.5 * (2 * k - 1) * np.log(total[:, 0] + 1)
-        better = value > best
-        best = np.where(better, value, best)
-        lang, score = np.where(better, kept.argmax(1), lang), np.where(better, kept.max(1), score)
-    return lang, np.clip(score, 0, 1)
+    best = np.full(len(live), -np.inf)
+    for k in range(1, n_lang + 1):
+        chosen = np.where(rank < k, np.maximum(share, 1e-6), 0)
+        kept, value = improve(chosen / chosen.sum(1, keepdims=True), SET_ROUNDS if k > 1 else 0)
+        value = value - 0.5 * (2 * k - 1) * np.log(total + 1)
+        better = np.flatnonzero(value > best)
+        out[live[better]] = kept[better]
+        if len(better) < len(live):  # the others are done
+            same = np.zeros(len(live), bool)
+            same[better] = True
+            pairs = same[own]
+            own, weight, p = np.cumsum(same)[own[pairs]] - 1, weight[pairs], p[pairs]
+            live, share, rank, total = live[better], share[better], rank[better], total[better]
+            value = value[better]
+            if not len(live):
+                break
+            starts = np.searchsorted(own, np.arange(len(live)))
+        best = value
+    return np.clip(out, 0, 1)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """doc_id, lang_pred, score. Whole texts; nothing but the text is used."""
+    """doc_id, lang_pred, score, languages (the set, largest proportion first) and proportions. Whole
+    texts; nothing but the text is used."""
     common.small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast((model[0], model[1].astype(np.float32)))
 
@@ -157,7 +164,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
         for b in common.parts(batches):
             n = b.num_rows
             offsets, words = common.split_words(b["text"])
-            lang, score = ["und"] * n, np.zeros(n)
+            lang, score, sets, shares = ["und"] * n, np.zeros(n), [[] for _ in range(n)], [[] for _ in range(n)]
             if len(words) and langs:
                 codes, distinct = common.coded_words(words)
                 bucket, starts = grams(distinct)
@@ -168,16 +175,22 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 pairs, times = np.unique(doc[keep] * len(distinct) + codes[keep], return_counts=True)
                 own = pairs // len(distinct)
                 if len(pairs):
-                    found, share = mixtures(own, times.astype(float), like[pairs % len(distinct)], n)
-                    for i in np.unique(own):
-                        lang[i], score[i] = langs[found[i]], share[i]
-            yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score)})
+                    share = mixtures(own, times.astype(float), like[pairs % len(distinct)], n)
+                    order = np.argsort(-share, axis=1, kind="stable")
+                    for i in np.unique(own).tolist():
+                        some = [k for k in order[i].tolist() if share[i, k] > 0]
+                        lang[i], score[i] = langs[some[0]], share[i, some[0]]
+                        sets[i], shares[i] = [langs[k] for k in some], share[i, some].tolist()
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": b["doc_id"], "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score),
+                "languages": pa.array(sets, pa.list_(pa.string())), "proportions": pa.array(shares, pa.list_(pa.float64())),
+            })
 
-    return common.id_text(docs).mapInArrow(each, "doc_id long, lang_pred string, score double")
+    return common.id_text(docs).mapInArrow(each, "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>")
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out()))
     out = predict(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "languages", "proportions")

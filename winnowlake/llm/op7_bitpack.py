@@ -7,8 +7,15 @@ holds its ids in ``width`` bits each, least significant bit first, and starts at
 any id is found from the offsets alone and a block unpacks in numpy without a loop over ids.
 
 Documents are range-partitioned by doc_id and sorted, so the files follow one another in
-ascending doc_id order (null first). A task writes its file under a name of its own and renames
-it: an attempt that is repeated leaves the same file.
+ascending doc_id order (null first). Rows of one doc_id are dealt further by their text and their
+place in the input, so no id meets in one task. A task writes a file for every IDS_PER_FILE ids, so
+that memory is bounded by ids (and one text), not by documents. It writes each file under a name of
+its own and renames it: an attempt that is repeated leaves the same files.
+
+Defined results: null and empty texts have their end id alone; repeated rows are documents of
+their own, next to one another; rows of one doc_id stand in the order of a hash of their text; null
+doc_ids come first; texts may have any length; extra columns are ignored; an empty table gives no
+file and no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +35,8 @@ END_ID = 1
 MAGIC = b"WLBP"
 BLOCK = 4096
 HEAD = struct.Struct("<4sIIQQ")
-ROWS_PER_FILE = 20_000
+#: Ids of a file (a longer document has a file of its own), and bytes of text of a task on average.
+IDS_PER_FILE, TASK_BYTES = 4_000_000, 32_000_000
 
 
 def width_of(vocabulary_size: int) -> int:
@@ -99,41 +107,50 @@ def open_fs(uri: str):
 def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write documents to files below folder (a URI that the executors share).
 
-    Returns the manifest, one row a file: file, part long, n_ids long, n_docs long, base long
-    (ids in all files before it). The manifest lies beside the files.
+    Returns the manifest, one row a file: file, part, piece, n_ids, n_docs, base (all long; base:
+    ids in all files before it). The manifest lies beside the files.
     """
     spark, path = docs.sparkSession, vocabulary or common.vocabulary_path(common.WORD_BPE)
     common.small_batches(spark)
     rows = common.id_text(docs)
-    files = max(common.partitions(spark), math.ceil(rows.count() / ROWS_PER_FILE))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(common.partitions(spark), math.ceil(size / TASK_BYTES))
     width = width_of(common.word_tokens(path).tokenizer.get_vocab_size())
 
     def save(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        ids, ends, keys = [], [0], []
+        store, place = open_fs(folder)
+        store.create_dir(place, recursive=True)
+        piece, ids, ends, keys = 0, [], [0], []
+
+        def flush() -> pa.RecordBatch:
+            data = encode_file(np.concatenate(ids), np.asarray(ends), keys, width)
+            name = f"part-{part:06d}-{piece:06d}.wlbp"
+            with store.open_output_stream(tried := f"{place}/.{name}.{uuid.uuid4().hex}") as f:
+                f.write(data)
+            store.move(tried, f"{place}/{name}")
+            return pa.RecordBatch.from_pydict({"file": [name], "part": [part], "piece": [piece], "n_ids": [ends[-1]], "n_docs": [len(keys)]})
+
         for b in common.parts(batches):
             some, cuts = common.token_ids(b["text"], path, end_id)
             ids.append(some.astype(np.uint16) if width <= 16 else some)
             ends.extend((cuts[1:] + ends[-1]).tolist())
             keys.extend(b["doc_id"].to_pylist())
-        if not keys:
-            return
-        data = encode_file(np.concatenate(ids), np.asarray(ends), keys, width)
-        store, place = open_fs(folder)
-        name = f"part-{part:06d}.wlbp"
-        store.create_dir(place, recursive=True)
-        with store.open_output_stream(tried := f"{place}/.{name}.{uuid.uuid4().hex}") as f:
-            f.write(data)
-        store.move(tried, f"{place}/{name}")
-        yield pa.RecordBatch.from_pydict({"file": [name], "part": [part], "n_ids": [ends[-1]], "n_docs": [len(keys)]})
-
-    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(save, "file string, part long, n_ids long, n_docs long").write.parquet(f"{folder}/_manifest")
-    manifest = spark.read.schema("file string, part long, n_ids long, n_docs long").parquet(f"{folder}/_manifest")
+            if ends[-1] >= IDS_PER_FILE:
+                yield flush()
+                piece, ids, ends, keys = piece + 1, [], [0], []
+        if keys:
+            yield flush()
+
+    schema = "file string, part long, piece long, n_ids long, n_docs long"
+    spread = rows.withColumn("h", F.xxhash64("text")).withColumn("at", F.monotonically_increasing_id())
+    ordered = spread.repartitionByRange(tasks, "doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "at").select("doc_id", "text")
+    ordered.mapInArrow(save, schema).write.parquet(f"{folder}/_manifest")
+    manifest = spark.read.schema(schema).parquet(f"{folder}/_manifest")
     # one row a file: this window is over files, not over documents
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
@@ -160,7 +177,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                             "file": pa.array([name] * len(ks), pa.string()),
                         })
 
-    spread = manifest.repartition(max(1, common.partitions(manifest.sparkSession)), "part")
+    spread = manifest.repartition(max(1, common.partitions(manifest.sparkSession)), "part", "piece")
     return spread.mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
 
 
