@@ -550,6 +550,29 @@ def test_gradient():
         assert abs((up - down) / (2 * e) - g[k][i]) < 1e-3
 
 
+def test_network_equals_plain_loops():
+    """Logits of windows against a GRU written out word by word."""
+    rng = np.random.default_rng(5)
+    net, H = op9_toxicity.Network(), op9_toxicity.HIDDEN
+    rows = rng.standard_normal((9, op9_toxicity.INPUTS)).astype(np.float32)
+    sizes = np.array([4, 1, 7])
+    first, codes = np.array([0, 4, 5]), rng.integers(0, 8, 12)
+    got = op9_toxicity.logits(net, rows, codes, first, sizes)
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for k, (a, n) in enumerate(zip(first, sizes)):
+        states = np.zeros((n, 2 * H))
+        for side, d in enumerate("fb"):
+            h = np.zeros(H)
+            for t in range(n) if d == "f" else range(n - 1, -1, -1):
+                e = np.tanh(rows[codes[a + t]] @ net.p["Wi"] + net.p["bi"])
+                x, u = e @ net.p[f"W{d}"] + net.p[f"b{d}"], h @ net.p[f"U{d}"]
+                z, r = sigmoid(x[:H] + u[:H]), sigmoid(x[H : 2 * H] + u[H : 2 * H])
+                h = z * h + (1 - z) * np.tanh(x[2 * H :] + r * u[2 * H :])
+                states[t, side * H : (side + 1) * H] = h
+        weight = np.exp(states @ net.p["a"])
+        assert abs((weight / weight.sum()) @ states @ net.p["o"] + net.p["ob"][0] - got[k]) < 1e-4
+
+
 def test_windows_cover_all_words():
     for n in (0, 1, 47, 48, 49, 72, 100, 1000):
         s = op9_toxicity.window_starts(n)
@@ -577,7 +600,8 @@ def test_toxicity_trains_on_all_windows(spark, monkeypatch):
     monkeypatch.setattr(op9_toxicity, "train", record)
     length = [10, 48, 300, 313, 2000, 5000] * 4
     docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(n))) for i, n in enumerate(length)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i // 6 % 2) for i in range(len(length))], "doc_id long, toxic int")
+    # one id has both labels, one row has none, one label has no document
+    labels = spark.createDataFrame([(i, i // 6 % 2) for i in range(len(length))] + [(7, 0), (7, 1), (0, 9), (99, 1), (None, 1)], "doc_id long, toxic int")
     op9_toxicity.fit(docs, labels)
     assert seen["n"] == [len(op9_toxicity.window_starts(n)) for n in length] and seen["words"] == sum(length)
 

@@ -7,13 +7,17 @@ hidden states give a window's logit; all is trained in numpy by back-propagation
 Every text is scored in overlapping windows of WINDOW words, STRIDE apart, the last one at the
 text's end; the largest logit is the document's, and a logistic calibration maps it to 0..1.
 
-Training reads a bounded sample of labelled rows: at most about SAMPLE documents per class,
-chosen by a hash of doc_id. They fall in two halves; each half's log-odds are the inputs with which
+Training reads a bounded sample of labelled rows: at most about SAMPLE documents per class and
+SAMPLE_BYTES of text, chosen by a hash of doc_id, with all their windows. They fall in two halves; each half's log-odds are the inputs with which
 the other half trains the network (a document never sees its own counts), and scoring uses the
 mean of the two tables. A document trains with the window that the current network scores highest.
 
 Defined results: null, empty and wordless texts are scored as one empty window; without rows of
-both classes every score is the share of label 1 (0 without labels).
+both classes every score is the share of label 1 (0 without labels); of several labels of one doc_id
+1 counts, and of several texts the least; labels other than 0 and 1 and labels without a document
+are ignored; rows are independent, so repeated rows and ties change nothing in scoring; texts may
+have any length; extra columns are ignored by score and carried by keep, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, STRIDE = 48, 24
-SAMPLE = 2500
+#: Labelled documents of a class, and bytes of text of all of them, that training reads (about, at most).
+SAMPLE, SAMPLE_BYTES = 2500, 30_000_000
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 15, 1 << 16
 GRAMS = (3, 4, 5)
 #: Documents that the prior counts as, spread over both classes by their size: chance hits of the rarer class weigh little.
@@ -284,7 +289,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """A model from documents (doc_id, text) and labels (doc_id, toxic)."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").dropDuplicates(["doc_id"])
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
     share = sizes.get(1, 0) / total if total else 0.0
@@ -294,7 +300,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     limit = {k: int(min(1.0, sample / n) * (1 << 20)) for k, n in sizes.items()}
     chosen = known.where(place < F.when(F.col("toxic") == 1, limit[1]).otherwise(limit[0])).withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int"))
     # at most about 2 x sample rows of two numbers and an id, whatever the input
-    rows = common.settled(spark, common.id_text(docs).join(F.broadcast(chosen), "doc_id").where("text is not null"), "sample")
+    found = common.id_text(docs).join(F.broadcast(chosen), "doc_id").where("text is not null")
+    rows = common.settled(spark, found.groupBy("doc_id", "toxic", "half").agg(F.min("text").alias("text")), "sample")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > SAMPLE_BYTES:  # fewer rows of long texts
+        rows = common.settled(spark, rows.where(F.pmod(F.xxhash64(F.lit("bytes"), "doc_id"), F.lit(1 << 20)) < int(SAMPLE_BYTES / size * (1 << 20))), "sample")
 
     def count(batches):
         for b in common.parts(batches):
