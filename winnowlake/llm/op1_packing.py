@@ -5,7 +5,7 @@ a BM25 inverted index over its own documents. A seed (the first unused document
 the document whose tail opens a window) asks the index for its unused neighbours, which fill its
 window of 4096 tokens one after the other, best first; a document that does not fit is cut and its
 rest opens the next window. A seed asks with its heaviest terms; when no answer is left and its
-window isn't full, with all its terms; only then does the next unused document follow. So each
+window isn't full, also with the next ones, to its last; only then does the next unused document follow. So each
 window but a shard's last is full. The last is cut into sequences whose lengths are powers of two,
 which need no padding.
 
@@ -29,7 +29,7 @@ WINDOW = 4096
 END_ID = 2
 #: Documents of a shard on average, and bytes of text, whichever makes more shards.
 DOCS_PER_SHARD, SHARD_BYTES = 2048, 16_000_000
-#: Terms of highest BM25 weight with which a seed asks first.
+#: Terms, by descending BM25 weight, with which a seed asks at once.
 QUERY_TERMS = 24
 K1, BETA = 1.2, 0.75
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, shard long, seed_doc_id long"
@@ -53,22 +53,20 @@ class BM25:
         self.by_doc = np.argsort(self.doc, kind="stable").astype(np.int32)
         self.first = np.searchsorted(self.doc[self.by_doc], np.arange(n + 1))
 
-    def neighbours(self, seed: int, unused: np.ndarray, terms: int | None = QUERY_TERMS) -> np.ndarray:
-        """Unused documents that share one of seed's heaviest terms (None: any term), best first."""
+    def neighbours(self, seed: int, unused: np.ndarray, step: int = QUERY_TERMS):
+        """Unused documents that share a term with seed: first those that its step heaviest terms find,
+        best first, then, as long as more are asked for, those that the next step terms add, and so on
+        to its last term. Scores add up over the terms asked."""
         own = self.by_doc[self.first[seed] : self.first[seed + 1]]
         own = own[self.df[self.term[own]] > 1]  # a term of one document finds no neighbour
-        asked = self.term[own[np.argsort(-self.weight[own], kind="stable")[:terms]]]
-        if not len(asked):
-            return asked
-        at = common.gather(self.starts[asked], self.df[asked])
-        score = np.bincount(self.doc[at], self.weight[at], self.n)
-        found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
-
-    def answers(self, seed: int, unused: np.ndarray):
-        """All unused documents that share a term with seed: first by its heaviest terms, then by all."""
-        yield from self.neighbours(seed, unused)
-        yield from self.neighbours(seed, unused, None)
+        terms = self.term[own[np.argsort(-self.weight[own], kind="stable")]]
+        score = np.zeros(self.n)
+        for i in range(0, len(terms), step):
+            asked = terms[i : i + step]
+            at = common.gather(self.starts[asked], self.df[asked])
+            score += np.bincount(self.doc[at], self.weight[at], self.n)
+            found = np.flatnonzero((score > 0) & unused)
+            yield from found[np.argsort(-score[found], kind="stable")].tolist()
 
 
 def plan(lengths: np.ndarray, index: BM25, window: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -95,7 +93,7 @@ def plan(lengths: np.ndarray, index: BM25, window: int) -> list[tuple[int, int,
             if filled == window:
                 sequence, filled = sequence + 1, 0
         if queue is None:
-            queue = index.answers(seed, unused) if filled else iter(())
+            queue = index.neighbours(seed, unused) if filled else iter(())
     return halved(pieces, sequence, filled)
 
 
