@@ -156,11 +156,12 @@ def split_words(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, pa.Array
 PART_BYTES = 2_000_000
 
 
-def parts(batches, column: str = "text"):
-    """Slices of Arrow batches with a bounded amount of text each; memory goes back at the end.
-    column may be a field of a struct (row.text).
+def parts(batches, column: str = "text", most: int = PART_BYTES):
+    """Slices of Arrow batches with a bounded amount of text each; memory goes back at the start
+    and at the end. column may be a field of a struct (row.text).
 
     Workers outlive a stage, so what one leaves allocated would add to the next one's needs."""
+    release()
     outer, _, inner = column.partition(".")
     for b in batches:
         if outer not in b.schema.names or not b.num_rows:
@@ -171,7 +172,7 @@ def parts(batches, column: str = "text"):
         first = 0
         while first < b.num_rows:
             before = int(total[first - 1]) if first else 0
-            end = max(first + 1, int(np.searchsorted(total, before + PART_BYTES, side="right")))
+            end = max(first + 1, int(np.searchsorted(total, before + most, side="right")))
             yield b.slice(first, end - first)
             first = end
     release()

@@ -139,7 +139,10 @@ def pack(docs: DataFrame, window: int = WINDOW, docs_per_shard: int = DOCS_PER_S
         pieces = plan(np.diff(ends), index, window)
         out = [(keys[d], s, n, common.crc(ids[ends[d] + s : ends[d] + s + n]), int(ends[d + 1] - ends[d]), (number << 32) + q, o, number, keys[seed]) for d, s, n, q, o, seed in pieces]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        return pa.table({k: pa.array([r[i] for r in out], pa.int64()) for i, k in enumerate(names)})
+        made = pa.table({k: pa.array([r[i] for r in out], pa.int64()) for i, k in enumerate(names)})
+        del t, index, ids, ends, pieces, out
+        common.release()  # the worker outlives the shard
+        return made
 
     # by row, so that rows of one id, or without one, don't meet in a shard
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)))

@@ -42,6 +42,8 @@ EPOCHS, BATCH, RATE, SEED = 14, 64, 0.01, 7
 LEAST_STEPS, MOST_EPOCHS = 1300, 120
 #: Windows scored at once.
 BLOCK = 2048
+#: Bytes of text whose n-grams are counted at once (a longer text alone makes a part of its own).
+COUNTED_BYTES = 250_000
 #: Different words whose n-grams are taken at once.
 WORDS = 20_000
 THRESHOLD = 0.3
@@ -307,22 +309,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
         rows = common.settled(spark, rows.where(F.pmod(F.xxhash64(F.lit("bytes"), "doc_id"), F.lit(1 << 20)) < int(SAMPLE_BYTES / size * (1 << 20))), "sample")
 
     def count(batches):
-        for b in common.parts(batches):
+        # documents by half, kind (word or n-gram), class and bucket, of all texts of a task
+        seen = np.zeros((2, 2, 2, GRAM_BUCKETS), np.int64)
+        for b in common.parts(batches, most=COUNTED_BYTES):
             offsets, words = common.split_words(b["text"])
             codes, distinct = common.coded_words(words)
             if not len(codes):
                 continue
             word, _, gram, starts = buckets(distinct)
-            doc = np.repeat(np.arange(b.num_rows), np.diff(offsets))
-            group = 2 * np.asarray(b["half"]) + np.asarray(b["toxic"])
-            pairs = np.unique(doc * len(distinct) + codes)
-            d, w = pairs // len(distinct), pairs % len(distinct)
-            spread = common.gather(starts[w], np.diff(starts)[w])
-            for kind, owner, place in ((0, d, word[w]), (1, np.repeat(d, np.diff(starts)[w]), gram[spread])):
-                once = np.unique(owner * GRAM_BUCKETS + place)
-                key, n = np.unique(group[once // GRAM_BUCKETS] * GRAM_BUCKETS + once % GRAM_BUCKETS, return_counts=True)
-                which = key // GRAM_BUCKETS
-                yield pa.RecordBatch.from_pydict({"half": pa.array(which // 2, pa.int32()), "kind": pa.array([kind] * len(key), pa.int32()), "toxic": pa.array(which % 2, pa.int32()), "g": pa.array(key % GRAM_BUCKETS, pa.int32()), "n": pa.array(n, pa.int64())})
+            half, toxic = np.asarray(b["half"]), np.asarray(b["toxic"])
+            for i in range(b.num_rows):
+                w = np.unique(codes[offsets[i] : offsets[i + 1]])
+                for kind, places in ((0, word[w]), (1, gram[common.gather(starts[w], np.diff(starts)[w])])):
+                    seen[half[i], kind, toxic[i], np.unique(places)] += 1
+        at = np.nonzero(seen)
+        yield pa.RecordBatch.from_pydict({**{k: pa.array(x, pa.int32()) for k, x in zip(("half", "kind", "toxic", "g"), at)}, "n": pa.array(seen[at], pa.int64())})
 
     docs_of = {(r["half"], r["toxic"]): r["n"] for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
     if len(docs_of) < 4:
@@ -342,21 +343,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
     halves = [[odds(h, kind, size) for kind, size in ((0, WORD_BUCKETS), (1, GRAM_BUCKETS))] for h in (0, 1)]
     tables = [(a + b) / 2 for a, b in zip(*halves)]
+    del got
 
     # the sample's rows are bounded; of each, training and calibration see all windows, as scoring does
     whole = rows.select("doc_id", "text", "toxic", "half").toArrow().sort_by("doc_id")
     bags, of = np.unique(whole["doc_id"].to_numpy(), return_inverse=True)
-    offsets, words = common.split_words(whole["text"])
-    codes, distinct = common.coded_words(words)
-    del words
-    doc, first, size = windows_of(offsets)
-    bag, half = of[doc], whole["half"].to_numpy()
-    label = np.zeros(len(bags), int)
+    half, label = whole["half"].to_numpy(), np.zeros(len(bags), int)
     label[of] = whole["toxic"].to_numpy()
+    sizes, coded = [], []
+    for b in common.parts(whole.select(["text"]).combine_chunks().to_batches()):
+        offsets, words = common.split_words(b["text"])
+        sizes.append(np.diff(offsets))
+        coded.append(words.dictionary_encode())
+        del words
+    del whole
+    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    coded = pa.chunked_array(coded).unify_dictionaries()
+    codes, distinct = np.concatenate([np.asarray(c.indices) for c in coded.chunks]), coded.chunk(0).dictionary
+    del coded
+    common.release()
+    doc, first, size = windows_of(offsets)
+    bag = of[doc]
     # the inputs of a half's words come from the other half's table, one after the other
     inputs = [features(distinct, *halves[1 - h]) for h in (0, 1)]
     inputs = np.concatenate([inputs[0][:-1], inputs[1]])
-    codes = codes + np.repeat(half, np.diff(offsets)) * len(distinct)
+    codes += np.repeat(half, np.diff(offsets)).astype(codes.dtype) * codes.dtype.type(len(distinct))
     net = train(inputs, codes, first, size, bag, label)
     best = np.full(len(bags), -np.inf)
     np.maximum.at(best, bag, logits(net, inputs, codes, first, size))
