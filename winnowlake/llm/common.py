@@ -153,7 +153,7 @@ def split_words(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, pa.Array
 
 
 #: Bytes of text that a worker handles at once (a longer text alone makes a part of its own).
-PART_BYTES = 2_000_000
+PART_BYTES = 1_000_000
 
 
 def parts(batches, column: str = "text", most: int = PART_BYTES):
@@ -200,6 +200,18 @@ def coded_words(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.asarray(d.indices, dtype=np.int64), d.dictionary
 
 
+def coded_texts(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Offsets of each text's words, the number of each word in the list of different words, and
+    that list; only a part of the words is held at once."""
+    sizes, coded = [np.zeros(1, np.int64)], [pa.array([], pa.large_string()).dictionary_encode()]
+    for b in parts(pa.table({"text": texts}).combine_chunks().to_batches(max_chunksize=BATCH_ROWS)):
+        offsets, words = split_words(b["text"])
+        sizes.append(np.diff(offsets))
+        coded.append(words.dictionary_encode())
+    chunks = pa.chunked_array(coded).unify_dictionaries().chunks
+    return np.cumsum(np.concatenate(sizes)), np.concatenate([np.asarray(c.indices) for c in chunks]), chunks[0].dictionary
+
+
 def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions starts[i] .. starts[i] + lengths[i] - 1 for all i, one after the other."""
     ends = np.cumsum(lengths)
@@ -217,7 +229,7 @@ def vocabulary_path(name: str) -> str:
 #: A word of Latin-1 letters, and the marks behind it.
 PLAIN_WORD = r"^(?P<stem>[A-Za-z\xC0-\xD6\xD8-\xF6\xF8-\xFF]+)(?P<marks>[.,;:!?\"()]*)$"
 #: Stems that a worker keeps, and words that go through the whole tokenizer at once.
-KEPT_STEMS, SLOW_WORDS = 250_000, 2000
+KEPT_STEMS, SLOW_WORDS = 100_000, 2000
 
 
 def byte_letters() -> dict[int, str]:

@@ -124,10 +124,8 @@ def pack(docs: DataFrame, window: int = WINDOW, docs_per_shard: int = DOCS_PER_S
         t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
         keys = t["doc_id"].to_pylist()
         number = t["shard"][0].as_py()
-        offsets, words = common.split_words(t["text"])
-        codes, distinct = common.coded_words(words)
-        del words
-        index = BM25(offsets, codes, len(distinct))
+        offsets, codes, distinct = common.coded_texts(t["text"])
+        index = BM25(offsets, codes.astype(np.int64), len(distinct))
         del codes, distinct
         common.release()
         ids, ends = [], [0]

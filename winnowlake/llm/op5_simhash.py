@@ -248,7 +248,7 @@ NEAR_SHINGLE, NEAR_SIMILARITY, VERIFIED = 5, 0.8, 2000
 #: Signatures compared in one call on average. Rows whose shingles are counted for their order, the count from which one is hot, and hot ones at most.
 COMPARED, COUNTED, HOT_AT, HOT_MOST = 50_000, 8192, 3, 65_536
 #: Signatures that a map task combines at once.
-COMBINED = 1_000_000
+COMBINED = 300_000
 
 
 def shingle_sets(texts, size: int = NEAR_SHINGLE) -> list[np.ndarray]:

@@ -350,18 +350,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     bags, of = np.unique(whole["doc_id"].to_numpy(), return_inverse=True)
     half, label = whole["half"].to_numpy(), np.zeros(len(bags), int)
     label[of] = whole["toxic"].to_numpy()
-    sizes, coded = [], []
-    for b in common.parts(whole.select(["text"]).combine_chunks().to_batches()):
-        offsets, words = common.split_words(b["text"])
-        sizes.append(np.diff(offsets))
-        coded.append(words.dictionary_encode())
-        del words
+    offsets, codes, distinct = common.coded_texts(whole["text"])
     del whole
-    offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-    coded = pa.chunked_array(coded).unify_dictionaries()
-    codes, distinct = np.concatenate([np.asarray(c.indices) for c in coded.chunks]), coded.chunk(0).dictionary
-    del coded
-    common.release()
     doc, first, size = windows_of(offsets)
     bag = of[doc]
     # the inputs of a half's words come from the other half's table, one after the other
