@@ -333,7 +333,11 @@ def token_ids(texts: pa.Array | pa.ChunkedArray, path: str, end_id: int) -> tupl
     """
     offsets, words = split_words(texts)
     codes, distinct = coded_words(words)
-    flat, lengths = word_tokens(path).encode(distinct)
+    return filled_ids(offsets, codes, *word_tokens(path).encode(distinct), end_id)
+
+
+def filled_ids(offsets: np.ndarray, codes: np.ndarray, flat: np.ndarray, lengths: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts' ids and their offsets as token_ids, of numbered words and each word's ids."""
     starts = np.cumsum(lengths) - lengths
     own = lengths[codes]
     ends = np.concatenate([[0], np.cumsum(own)])[offsets]
@@ -348,6 +352,26 @@ def token_ids(texts: pa.Array | pa.ChunkedArray, path: str, end_id: int) -> tupl
     return out, cuts
 
 
+#: Different words encoded at once, and words whose ids are put in their places at once.
+ENCODED_WORDS, FILLED_WORDS = 50_000, 250_000
+
+
+def coded_ids(offsets: np.ndarray, codes: np.ndarray, distinct: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of coded_texts' result: each different word is encoded once for all texts."""
+    found = [word_tokens(path).encode(distinct.slice(i, ENCODED_WORDS)) for i in range(0, len(distinct), ENCODED_WORDS)]
+    flat = np.concatenate([np.zeros(0, np.uint32), *(x for x, _ in found)])
+    lengths = np.concatenate([np.zeros(0, np.int64), *(x for _, x in found)])
+    ids, cuts, first = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)], 0
+    while first < len(offsets) - 1:
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + FILLED_WORDS, side="right")) - 1)
+        part = offsets[first : end + 1]
+        some, ends = filled_ids(part - part[0], codes[part[0] : part[-1]], flat, lengths, end_id)
+        ids.append(some)
+        cuts.append(ends[1:] + cuts[-1][-1])
+        first = end
+    return np.concatenate(ids), np.concatenate(cuts)
+
+
 def crc(ids: np.ndarray) -> int:
     """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))

@@ -126,14 +126,9 @@ def pack(docs: DataFrame, window: int = WINDOW, docs_per_shard: int = DOCS_PER_S
         number = t["shard"][0].as_py()
         offsets, codes, distinct = common.coded_texts(t["text"])
         index = BM25(offsets, codes.astype(np.int64), len(distinct))
+        ids, ends = common.coded_ids(offsets, codes, distinct, path, end_id)
         del codes, distinct
         common.release()
-        ids, ends = [], [0]
-        for b in common.parts(t.select(["text"]).combine_chunks().to_batches(max_chunksize=common.BATCH_ROWS)):
-            some, cuts = common.token_ids(b["text"], path, end_id)
-            ids.append(some)
-            ends.extend((cuts[1:] + ends[-1]).tolist())
-        ids, ends = np.concatenate(ids), np.asarray(ends)
         pieces = plan(np.diff(ends), index, window)
         out = [(keys[d], s, n, common.crc(ids[ends[d] + s : ends[d] + s + n]), int(ends[d + 1] - ends[d]), (number << 32) + q, o, number, keys[seed]) for d, s, n, q, o, seed in pieces]
         names = [x.split()[0] for x in SCHEMA.split(", ")]
