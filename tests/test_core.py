@@ -132,6 +132,22 @@ def test_stored_sets(spark, x):
     assert all(len(r.data) <= max(1, colors.CHUNK // 4) for r in encoded.collect())
 
 
+@pytest.mark.parametrize("kind", ["md5", "mix"])
+def test_sets_are_numbered_alike_in_every_reading(spark, kind):
+    """More sets than a range partitioning samples: each has one number, dense and in order."""
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1m")
+    try:
+        n = 150_000
+        h = F.md5(F.col("id").cast("string")) if kind == "md5" else F.xxhash64("id")
+        named = index.color_ids(spark.range(0, n, 1, 8).select(h.alias("h"), F.col("id").alias("doc_id")))
+        got = [(r.cid, r.h) for r in named.select("cid", "h").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    assert [c for c, _ in sorted(got)] == list(range(n))
+    assert [x for _, x in sorted(got)] == sorted(x for _, x in got)
+
+
 def test_lookups_read_only_their_partitions(spark, tmp_path):
     rng = np.random.default_rng(1)
     docs = spark.createDataFrame([(i, "".join(np.array(list("ACGT"))[rng.integers(0, 4, 3000)])) for i in range(4)], "doc_id int, seq string")
