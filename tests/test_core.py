@@ -35,6 +35,48 @@ def test_reverse_complement_has_the_same_minimizers(seq):
     assert sorted(kernel(seq, kind="mix")) == sorted(kernel(other, kind="mix"))
 
 
+def test_md5_kernel_is_fast():
+    """A million symbols, which took some 8 seconds when each hash was a Python call."""
+    import time
+
+    data = np.random.default_rng(3).choice(np.frombuffer(b"ACGT", np.uint8), 1_000_000)
+    began = time.time()
+    own, pos, hi, lo = minimizers.batch_hashes(data, np.array([0, len(data)]), 31, 19, True, 42, "md5")
+    assert time.time() - began < 3
+    for i in (0, 500_000, len(pos) - 1):
+        assert minimizers.hex_texts(hi[i : i + 1], lo[i : i + 1]).to_pylist() == minimizers.naive(data[i : i + 31].tobytes().decode())
+
+
+@pytest.mark.parametrize("m, seed", [(1, 0), (4, 7), (19, 42), (20, -3), (31, 10**19), (31, 10**30)])
+def test_md5_of_many_equals_hashlib(m, seed):
+    import hashlib
+
+    values = np.random.default_rng(m).integers(0, 4 ** min(m, 30), 40).astype(np.uint64)
+    want = [hashlib.md5(f"{''.join(str(v >> 2 * (m - 1 - j) & 3) for j in range(m))}|{seed}".encode()).hexdigest() for v in values.tolist()]
+    assert minimizers.hex_texts(*minimizers.md5_digests(values, m, seed)).to_pylist() == want
+
+
+@pytest.mark.parametrize("kind", ["md5", "mix"])
+def test_documents_of_several_rows_and_sought_minimizers(spark, monkeypatch, kind):
+    """Ids of several rows, null ids and texts; only repeated ids' rows are shuffled, and only sought ones leave the kernel."""
+    rng = np.random.default_rng(5)
+    seqs = ["".join(np.array(list("ACGT"))[rng.integers(0, 4, n)]) for n in (300, 200, 31, 5, 400)]
+    rows = [(1, seqs[0]), (2, seqs[1]), (2, seqs[1][50:]), (3, seqs[2]), (4, seqs[3]), (5, None), (None, seqs[1]), (None, seqs[1]), (6, seqs[4] + seqs[4])]
+    want = {}
+    for i, s in rows:
+        want.setdefault(i, set()).update(minimizers.naive(s or "", kind=kind))
+    signed = lambda h: h if kind == "md5" or h < 1 << 63 else h - (1 << 64)
+    pairs = sorted((str(i), signed(h)) for i, hs in want.items() for h in hs)
+    docs = spark.createDataFrame(rows, "doc_id int, seq string")
+    assert sorted((str(r.doc_id), r.h) for r in index.doc_minimizers(docs, kind=kind).collect()) == pairs
+    some = query.query_minimizers(spark.createDataFrame([(1, seqs[1][:40] + seqs[4][100:150])], "qid long, seq string"), kind=kind)
+    known = {r.h for r in some.collect()}
+    assert sorted((str(r.doc_id), r.h) for r in index.sought(docs, some, kind=kind).collect()) == [x for x in pairs if x[1] in known]
+    bits = minimizers.leading_bits(some)
+    left = minimizers.minimizers(docs, ["doc_id"], kind=kind, among=bits).select("h").distinct().count()
+    assert len(known & {h for _, h in pairs}) <= left < len({h for _, h in pairs}) / 2
+
+
 def test_bounds_of_k_and_m():
     for k, m in ((32, 19), (0, 1), (5, 6), (5, 0)):
         with pytest.raises(ValueError):

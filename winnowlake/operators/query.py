@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import encode, minimizers
-from .index import Index, pruned
+from .index import Index, pruned, sought
 
 
 def query_minimizers(queries: DataFrame, seq: str = "seq", **options) -> DataFrame:
@@ -60,12 +60,11 @@ def run(index: Index, queries: DataFrame, ratio: float = 1.0, seq: str = "seq",
 
 
 def run_direct(docs: DataFrame, queries: DataFrame, ratio: float = 1.0, seq: str = "seq", **options) -> DataFrame:
-    """The same without an index: documents' minimizers are joined on the fly. Documents' rows
-    whose minimizer no query has are dropped by the join before anything is counted."""
+    """The same without an index: documents' minimizers are joined on the fly; only those
+    that a query has are shuffled."""
     k = options.get("k", minimizers.K)
     q = query_minimizers(queries, seq, **options)
-    # only minimizers that a query has are shuffled, and one that a document repeats is one row
-    d = minimizers.minimizers(docs, ["doc_id"], seq, **options).select("doc_id", "h").join(q.select("h").distinct(), "h", "left_semi").distinct()
+    d = sought(docs, q, seq, **options)
     return ranked(joined(d, q).groupBy("qid", "doc_id").agg(F.sum("n").alias("score")), kmers(queries, k, seq), ratio)
 
 
