@@ -190,6 +190,27 @@ def test_sets_are_numbered_alike_in_every_reading(spark, kind):
     assert [x for _, x in sorted(got)] == sorted(x for _, x in got)
 
 
+def test_absent_ids_stay_out_of_shuffles(spark, tmp_path):
+    """Sets of few ids of very many, of all, of none but the last: the complement follows from the gaps,
+    and what the catalogue query shuffles grows with the members."""
+    n = 5000
+    sets = {1: [0], 2: list(range(n)), 3: [n - 1], 4: [7, 8, 4000], 5: [i for i in range(n) if i % 3]}
+    members = spark.createDataFrame([(h, i) for h, ids in sets.items() for i in ids], "h long, doc_id long")
+    want = {h: sorted(set(range(n)) - set(ids)) for h, ids in sets.items()}
+    got = {r.h: r.ids for r in colors.absent_ranges(members, n).select("h", colors.within(F.col("ranges")).alias("ids")).collect()}
+    assert got == want
+    assert sorted((r.h, r.doc_id) for r in colors.absent(members, n).collect()) == [(h, i) for h, ids in want.items() for i in ids]
+
+    import __spark_entry__ as e
+
+    spark.createDataFrame([(h, i) for h, ids in sets.items() for i in ids], "l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(n).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    made = e.queries()["set_complement"](spark, str(tmp_path))
+    assert {r.h: r.absent for r in made.collect()} == {h: ",".join(map(str, ids)) for h, ids in want.items()}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
 def test_lookups_read_only_their_partitions(spark, tmp_path):
     rng = np.random.default_rng(1)
     docs = spark.createDataFrame([(i, "".join(np.array(list("ACGT"))[rng.integers(0, 4, 3000)])) for i in range(4)], "doc_id int, seq string")
