@@ -298,6 +298,38 @@ def test_near_copies_equal_brute_force(spark):
     assert sorted(r.doc_id for r in op5_simhash.keep(df).collect()) == sorted(set(want.values()))
 
 
+def test_verified_equals_all_pairs():
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        sets = []
+        for _ in range(rng.integers(1, 25)):
+            if sets and rng.random() < 0.6:
+                old = sets[rng.integers(len(sets))]
+                x = np.concatenate([old[rng.random(len(old)) < rng.choice([0.8, 0.9, 1])], rng.integers(0, 60, rng.integers(0, 3)).astype(np.uint64)])
+            else:
+                x = rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)
+            sets.append(np.unique(x))
+        want = op5_simhash.Sets(len(sets))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) - 1e-9:
+                    want.join(np.array([i]), np.array([j]))
+        want, got = want.flat(), op5_simhash.verified(sets)
+        assert ((want[:, None] == want[None]) == (got[:, None] == got[None])).all()
+
+
+def test_large_candidate_components_take_no_quadratic_time():
+    """Many texts that share a passage but aren't near copies: each was compared with all, some 15 seconds for 3,000."""
+    import time
+
+    rng = np.random.default_rng(0)
+    shared = rng.integers(0, 1 << 63, 20).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.integers(0, 1 << 63, 400).astype(np.uint64), shared])) for _ in range(3000)]
+    began = time.time()
+    assert len(np.unique(op5_simhash.verified(sets))) == 3000
+    assert time.time() - began < 5
+
+
 def test_near_copies_of_repeated_content(spark):
     """A text and the same text several times over have nearly the same shingles, though lengths differ much."""
     text = [f"w{i}" for i in range(300)]

@@ -266,8 +266,12 @@ def shingle_sets(texts, size: int = NEAR_SHINGLE) -> list[np.ndarray]:
 
 def verified(sets: list[np.ndarray], similarity: float = NEAR_SIMILARITY) -> np.ndarray:
     """A root for each set: sets of one root are connected by pairs of at least that Jaccard
-    similarity. Each set is compared with all others until one component is left; those that hold
-    the most common shingles come first, so that a text and its many copies take one pass."""
+    similarity. Each set is compared with others until one component is left; those that hold
+    the most common shingles come first, so that a text and its many copies take one pass.
+
+    With shingles in one order, rare ones first, of two such sets each has one of the other's first
+    n - ceil(similarity * n) + 1. So a set is compared with those that share one of these and aren't
+    connected to it, or with all where that is less work."""
     n = len(sets)
     parts = Sets(n)
     sizes = np.array([len(x) for x in sets])
@@ -279,14 +283,32 @@ def verified(sets: list[np.ndarray], similarity: float = NEAR_SIMILARITY) -> np.
     known, ids = np.unique(np.concatenate([sets[i] for i in full]), return_inverse=True)
     starts = np.cumsum(sizes[full]) - sizes[full]
     common_ = np.add.reduceat(np.bincount(ids)[ids], starts) / sizes[full]
+    heat, own = np.bincount(ids), np.repeat(np.arange(len(full)), sizes[full])
+    rare = ids[np.lexsort((ids, heat[ids], own))]
+    head = sizes[full] - np.ceil(similarity * sizes[full] - 1e-9).astype(np.int64) + 1
+    heads = rare[common.gather(starts, head)]
+    holders = np.repeat(np.arange(len(full)), head)[np.argsort(heads, kind="stable")]
+    many = np.bincount(heads, minlength=len(known))
+    first = np.cumsum(many) - many
+    mark = np.zeros(len(known), bool)
     for k in np.argsort(-common_, kind="stable"):
         root = parts.flat()[full]
         if (root == root[0]).all():
             break
-        mark = np.zeros(len(known), bool)
-        mark[ids[starts[k] : starts[k] + sizes[full[k]]]] = True
-        both = np.add.reduceat(mark[ids], starts, dtype=np.int64)
-        near = np.flatnonzero(both >= similarity * (sizes[full[k]] + sizes[full] - both) - 1e-9)
+        mine = rare[starts[k] : starts[k] + sizes[full[k]]]
+        asked = mine[: head[k]]
+        if many[asked].sum() < len(ids):
+            others = np.unique(holders[common.gather(first[asked], many[asked])])
+            others = others[root[others] != root[k]]
+        else:
+            others = np.flatnonzero(root != root[k])
+        if not len(others):
+            continue
+        mark[mine] = True
+        lengths = sizes[full[others]]
+        both = np.add.reduceat(mark[ids[common.gather(starts[others], lengths)]], np.cumsum(lengths) - lengths, dtype=np.int64)
+        mark[mine] = False
+        near = others[both >= similarity * (len(mine) + lengths - both) - 1e-9]
         parts.join(full[near], np.repeat(full[k], len(near)))
     return parts.flat()
 
