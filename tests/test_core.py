@@ -326,3 +326,49 @@ def test_sql_function(spark):
     minimizers.register_minimizers(spark)
     n = spark.sql(f"SELECT * FROM minimizers('{GENOMES[0]}', 15, 7)").count()
     assert n == len(GENOMES[0]) - 14
+
+
+@pytest.mark.parametrize("kind", ["md5", "mix"])
+@pytest.mark.parametrize("k, m", [(31, 19), (31, 31), (9, 4), (5, 1)])
+def test_near_hashes_are_all_of_those_sought(k, m, kind):
+    """Against all k-mers' minimizers, over the ends of blocks and sequences, with empty and short sequences and an empty bitmap."""
+    rng = np.random.default_rng(k + m)
+    lengths = [0, 3, 100, minimizers.MER_BLOCK + 7, k, 0, 4000, 0]
+    data = rng.choice(np.frombuffer(b"ACGT", np.uint8), sum(lengths))
+    data[-300:] = data[110:410]
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    own, pos, *h = minimizers.batch_hashes(data, offsets, k, m, True, 42, kind)
+    values = minimizers.mmers(((data >> 1) & 3).astype(np.uint64), m, True)
+    first = minimizers.finalise(values, 42) if kind == "mix" else minimizers.md5_digests(values, m, 42)[0]
+    sought = np.unique(h[0][::500])
+    for some in (sought, sought[:1], sought[:0]):
+        mers, slots = np.zeros(1 << minimizers.LEADING - 6, np.uint64), np.unique(minimizers.mer_slots(values[np.isin(first, some)]))
+        np.bitwise_or.at(mers, slots >> 6, np.uint64(1) << (slots & 63).astype(np.uint64))
+        own2, pos2, *h2 = minimizers.near_hashes(data, offsets, k, m, True, 42, kind, mers)
+        all_of = lambda o, p, h: [x for x in zip(o.tolist(), p.tolist(), *(y.tolist() for y in h if y is not None)) if x[2] in set(some.tolist())]
+        assert all_of(own2, pos2, h2) == all_of(own, pos, h)
+    assert not len(own2)
+
+
+def test_few_mmers_are_hashed_for_sought_minimizers(monkeypatch):
+    """All were, so that queries of 1 GB ran out of time."""
+    rng = np.random.default_rng(1)
+    data = rng.choice(np.frombuffer(b"ACGT", np.uint8), 200_000)
+    mers = np.zeros(1 << minimizers.LEADING - 6, np.uint64)
+    slot = minimizers.mer_slots(minimizers.mmers(((data[5000:5019] >> 1) & 3).astype(np.uint64), 19, True))[0]
+    mers[slot >> 6] = np.uint64(1) << np.uint64(slot & 63)
+    hashed, digests = [], minimizers.md5_digests
+    monkeypatch.setattr(minimizers, "md5_digests", lambda v, *a: (hashed.append(len(v)), digests(v, *a))[1])
+    minimizers.near_hashes(data, np.array([0, len(data)]), 31, 19, True, 42, "md5", mers)
+    assert sum(hashed) < 2000
+
+
+def test_sought_minimizers_by_their_queries(spark):
+    rng = np.random.default_rng(6)
+    seqs = ["".join(np.array(list("ACGT"))[rng.integers(0, 4, n)]) for n in (300, 200, 40)]
+    docs = spark.createDataFrame([(1, seqs[0]), (2, seqs[0][100:] + seqs[1]), (3, None), (None, seqs[1]), (2, seqs[2])], "doc_id int, seq string")
+    asked = spark.createDataFrame([(1, seqs[0][50:200]), (2, seqs[2]), (3, None), (4, "ACGT")], "qid long, seq string")
+    for kind in ("md5", "mix"):
+        q = query.query_minimizers(asked, kind=kind)
+        got = lambda **o: sorted((str(r.doc_id), r.h) for r in index.sought(docs, q, kind=kind, **o).collect())
+        assert got(queries=asked) == got() != []

@@ -64,7 +64,7 @@ def run_direct(docs: DataFrame, queries: DataFrame, ratio: float = 1.0, seq: str
     that a query has are shuffled."""
     k = options.get("k", minimizers.K)
     q = query_minimizers(queries, seq, **options)
-    d = sought(docs, q, seq, **options)
+    d = sought(docs, q, seq, queries, **options)
     return ranked(joined(d, q).groupBy("qid", "doc_id").agg(F.sum("n").alias("score")), kmers(queries, k, seq), ratio)
 
 
