@@ -43,18 +43,27 @@ KEPT, TOKENS, CHARS = 800_000, 1_000_000, 4_000_000
 #: Megabytes that DuckDB may use, and more for each byte of a match that is longer than a megabyte.
 MEMORY, PER_BYTE = 400, 0.0004
 
+#: s: a row's id, the next row and its id, and the rank of the pair of both; only a contracted row and the one before it are looked up again.
 STEPS = """
-WITH RECURSIVE s(w, pos, id, step) AS (
-  SELECT w, pos, id, 0 FROM start
+WITH RECURSIVE s(w, pos, id, nxt, nid, m, step) AS (
+  SELECT a.w, a.pos, a.id, a.nxt, a.nid, g.m, 0
+  FROM (SELECT w, pos, id, lead(pos) OVER o AS nxt, lead(id) OVER o AS nid FROM start WINDOW o AS (PARTITION BY w ORDER BY pos)) a
+  LEFT JOIN merges g ON g.l = a.id AND g.r = a.nid
   UNION ALL
-  (WITH p AS (SELECT w, pos, id, lead(id) OVER o AS nid, lead(pos) OVER o AS nxt FROM s WINDOW o AS (PARTITION BY w ORDER BY pos)),
-   c AS (SELECT p.w, min(g.m::BIGINT * 4294967296 + p.pos) AS k, arg_min(p.nxt, g.m::BIGINT * 4294967296 + p.pos) AS gone
-         FROM p JOIN merges g ON g.l = p.id AND g.r = p.nid GROUP BY p.w)
-   SELECT s.w, s.pos, CASE WHEN s.pos = (c.k & 4294967295) THEN (c.k >> 32)::INT ELSE s.id END, s.step + 1
-   FROM s JOIN c ON c.w = s.w WHERE s.pos <> c.gone)
+  (WITH c AS MATERIALIZED (SELECT w, min(m::BIGINT * 4294967296 + pos) AS k, arg_min(nxt, m::BIGINT * 4294967296 + pos) AS gone
+         FROM s WHERE m IS NOT NULL GROUP BY w),
+   d AS MATERIALIZED (SELECT c.w, (c.k & 4294967295)::INT AS pos, (c.k >> 32)::INT AS id, c.gone, s.nxt, s.nid
+         FROM s JOIN c ON c.w = s.w AND c.gone = s.pos),
+   t AS MATERIALIZED (SELECT s.w, s.pos, CASE WHEN s.pos = d.pos THEN d.id ELSE s.id END AS id,
+           CASE WHEN s.pos = d.pos THEN d.nxt ELSE s.nxt END AS nxt,
+           CASE WHEN s.pos = d.pos THEN d.nid WHEN s.nxt = d.pos THEN d.id ELSE s.nid END AS nid,
+           s.m, s.step + 1 AS step, s.pos = d.pos OR coalesce(s.nxt = d.pos, false) AS changed
+         FROM s JOIN d ON d.w = s.w WHERE s.pos <> d.gone)
+   SELECT w, pos, id, nxt, nid, m, step FROM t WHERE NOT changed
+   UNION ALL SELECT t.w, t.pos, t.id, t.nxt, t.nid, g.m, t.step FROM t LEFT JOIN merges g ON g.l = t.id AND g.r = t.nid WHERE t.changed)
 )
-SELECT w, list(id ORDER BY pos) AS ids FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM s)
-WHERE step = last GROUP BY w ORDER BY w
+SELECT w, list(id ORDER BY pos) AS ids FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step)
+GROUP BY w ORDER BY w
 """
 
 #: s: id (-1: contracted into the row before it), the next live row, and the rank of the pair with it.
