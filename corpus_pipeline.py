@@ -26,7 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least doc_id, of each component of near copies (five-word shingles,
-    similarity of 0.8 or more; see op5_simhash.near_texts for why not by fingerprints)."""
+    similarity of 0.8 or more): candidates by operator 5's fingerprints and, for what they miss, by
+    signatures, then verified exactly (see op5_simhash.near_texts)."""
     return op5_simhash.keep(docs)
 
 

@@ -330,6 +330,23 @@ def test_large_candidate_components_take_no_quadratic_time():
     assert time.time() - began < 5
 
 
+def test_near_copies_go_by_fingerprints(spark, documents, monkeypatch):
+    """All texts that operator 5 links are candidates of the pipeline's stage, which verifies them."""
+    word = lambda a, i: f"{a}{i * 7919 % 1009}"
+    texts = {10_000 + k: " ".join(["spam"] * 60 + [word(a, i) for i in range(38)]) for k, a in enumerate("xyz")}
+    texts |= {k: t or "" for k, t in list(documents.items())[:80]}
+    want = brute_components({k: brute_simhash(t) for k, t in texts.items()}, 2)
+    assert want[10_001] == want[10_002] == 10_000
+    seen, components = [], op5_simhash.components
+    monkeypatch.setattr(op5_simhash, "components", lambda links: seen.append(components(links)) or seen[-1])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r.doc_id for r in op5_simhash.keep(df).collect()}
+    root = {r.node: r.root for r in seen[0].collect()}
+    ids = {r.doc_id: r.t for r in df.select("doc_id", op5_simhash.text_id().alias("t")).collect()}
+    assert all(root.get(ids[k], ids[k]) == root.get(ids[v], ids[v]) for k, v in want.items())
+    assert {10_000, 10_001, 10_002} <= kept
+
+
 def test_near_copies_of_repeated_content(spark):
     """A text and the same text several times over have nearly the same shingles, though lengths differ much."""
     text = [f"w{i}" for i in range(300)]

@@ -435,21 +435,34 @@ def candidates(texts: DataFrame) -> DataFrame:
     return rows.withColumn("call", F.pmod(F.xxhash64("signature"), F.lit(calls))).groupBy("call").applyInArrow(share, "a long, b long")
 
 
+def fingerprint_links(texts: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Edges (a, b) that connect all texts (text_id, text) that near_duplicates links: those of one
+    fingerprint with the least of them, and these by the edges of the vantage-point trees."""
+    spark = texts.sparkSession
+    prints = common.settled(spark, fingerprints(texts.withColumnRenamed("text_id", "doc_id")).distinct(), "fingerprints")
+    classes = common.settled(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    equal = prints.join(classes, "fp").where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    of = lambda c: classes.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    near = edges(classes.select("fp"), radius).join(of("a"), "a").join(of("b"), "b")
+    return equal.union(near.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")))
+
+
 def near_texts(docs: DataFrame) -> DataFrame:
     """node, root: different texts (text_id) of a component of near copies and its least text_id.
     Near copies have five-word shingles of a Jaccard similarity of 0.8 or more.
 
-    Fingerprints cannot serve here: at a similarity of 0.8 two texts' shingle sets stand at an angle
-    of 27 degrees, so 64-bit fingerprints differ by ten bits on average, a radius at which vantage-point
-    trees prune nothing and about half of the pairs are lost. So texts that share a signature are
-    candidates, which no near copies escape. The components of
-    candidates are then verified by exact similarity; a component's different texts meet in one
+    Candidates are the texts that operator 5 links by fingerprints (fingerprint_links), and, as the exact
+    way for what these miss, texts that share a signature, which no near copies escape: at a similarity
+    of 0.8 two texts' shingle sets stand at an angle of 27 degrees, so 64-bit fingerprints differ by
+    ten bits on average, a radius at which vantage-point trees prune nothing and about half of the pairs
+    are lost. The components of candidates are then verified by exact similarity, as fingerprints may
+    also agree where texts differ (one phrase repeated); a component's different texts meet in one
     task, where only linear memory is used.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
     texts = common.id_text(docs).select(text_id().alias("text_id"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = common.settled(spark, components(candidates(texts)), "candidates")
+    grouped = common.settled(spark, components(fingerprint_links(texts).union(candidates(texts))), "candidates")
     calls = max(1, grouped.count() // VERIFIED)
     concerned = common.id_filter(grouped.select(F.col("node").alias("doc_id")))(texts.withColumnRenamed("text_id", "doc_id"), True)
     rows = concerned.dropDuplicates(["doc_id"]).join(grouped.withColumnRenamed("node", "doc_id"), "doc_id")
