@@ -504,6 +504,21 @@ def test_bitpack(spark, sf, documents, odd, tmp_path):
     assert op7_bitpack.read(op7_bitpack.write(odd.limit(0), folder), folder).count() == 0
 
 
+def test_words_of_a_group_are_encoded_once(documents, monkeypatch):
+    """Groups hold every part once and in order; their ids are those of the parts."""
+    monkeypatch.setattr(op7_bitpack, "ENCODED_BYTES", 100_000)
+    texts = pa.array([None, "", *documents.values(), "x " * 80_000, "end"], pa.string())
+    parts = list(common.parts([pa.record_batch({"text": texts})], most=20_000))
+    groups = list(op7_bitpack.grouped(parts))
+    assert [b for g in groups for b in g] == parts and max(map(len, groups)) > 1
+    path = common.vocabulary_path(common.WORD_BPE)
+    for g in groups:
+        ids, cuts = common.coded_ids(*common.coded_texts(pa.chunked_array([b["text"] for b in g])), path, 1)
+        want = [common.token_ids(b["text"], path, 1) for b in g]
+        assert np.array_equal(ids, np.concatenate([x for x, _ in want]))
+        assert np.array_equal(np.diff(cuts), np.concatenate([np.diff(c) for _, c in want]))
+
+
 def test_rows_of_one_id_lie_in_several_files(spark, tmp_path):
     rows = [(1, "word " * (i % 50)) for i in range(300)] + [(2, "long " * 5000), (0, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)

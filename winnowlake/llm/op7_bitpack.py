@@ -26,6 +26,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ BLOCK = 4096
 HEAD = struct.Struct("<4sIIQQ")
 #: Ids of a file (a longer document has a file of its own), and bytes of text of a task on average.
 IDS_PER_FILE, TASK_BYTES = 4_000_000, 32_000_000
+#: Bytes of text whose different words are encoded once (a longer text is encoded with those before it).
+ENCODED_BYTES = 12_000_000
 
 
 def width_of(vocabulary_size: int) -> int:
@@ -98,6 +101,19 @@ class Reader:
         return self.read(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
+def grouped(parts):
+    """Lists of parts that have ENCODED_BYTES of text together."""
+    group, size = [], 0
+    for b in parts:
+        group.append(b)
+        size += pc.sum(pc.binary_length(b["text"])).as_py() or 0
+        if size >= ENCODED_BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def open_fs(uri: str):
     from pyarrow import fs
 
@@ -133,14 +149,19 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: i
             store.move(tried, f"{place}/{name}")
             return pa.RecordBatch.from_pydict({"file": [name], "part": [part], "piece": [piece], "n_ids": [ends[-1]], "n_docs": [len(keys)]})
 
-        for b in common.parts(batches):
-            some, cuts = common.token_ids(b["text"], path, end_id)
-            ids.append(some.astype(np.uint16) if width <= 16 else some)
-            ends.extend((cuts[1:] + ends[-1]).tolist())
-            keys.extend(b["doc_id"].to_pylist())
-            if ends[-1] >= IDS_PER_FILE:
-                yield flush()
-                piece, ids, ends, keys = piece + 1, [], [0], []
+        for group in grouped(common.parts(batches)):
+            coded = common.coded_texts(pa.chunked_array([b["text"] for b in group]))
+            some, cuts = common.coded_ids(*coded, path, end_id)
+            some, first = some.astype(np.uint16) if width <= 16 else some, 0
+            for b in group:
+                own = cuts[first : first + b.num_rows + 1]
+                ids.append(some[own[0] : own[-1]])
+                ends.extend((own[1:] - own[0] + ends[-1]).tolist())
+                keys.extend(b["doc_id"].to_pylist())
+                first += b.num_rows
+                if ends[-1] >= IDS_PER_FILE:
+                    yield flush()
+                    piece, ids, ends, keys = piece + 1, [], [0], []
         if keys:
             yield flush()
 
