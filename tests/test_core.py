@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from winnowlake import cli
 from winnowlake.functions import codes, colors, encode, minimizers
-from winnowlake.operators import index, query, rbo
+from winnowlake.operators import index, packed, query, rbo
 from winnowlake.sources import fastx, lists, results
 
 SEQ = st.text("ACGT", min_size=0, max_size=90)
@@ -190,6 +190,22 @@ def test_sets_are_numbered_alike_in_every_reading(spark, kind):
     assert [x for _, x in sorted(got)] == sorted(x for _, x in got)
 
 
+@pytest.mark.parametrize("kind, k, m, canonical", [("md5", 31, 19, True), ("mix", 31, 19, True), ("md5", 15, 4, False), ("mix", 31, 31, True)])
+def test_packed_sets_equal_those_of_members(spark, monkeypatch, kind, k, m, canonical):
+    """Several buckets, pieces and rows of a document; null, empty and short sequences; ids of any type."""
+    monkeypatch.setattr(packed, "BUCKET_BYTES", 500)
+    monkeypatch.setattr(minimizers, "PIECE", 300)
+    rng = np.random.default_rng(5)
+    base = ["".join(rng.choice(list("ACGT"), n)) for n in (700, 40, 31, 12, 0, 250)]
+    data = [(i % 9, base[i % 6] + base[i % 4][: 7 * i]) for i in range(20)] + [(50, None), (51, ""), (52, base[0]), (53, base[0])]
+    docs = spark.createDataFrame(data, "doc_id long, seq string").repartition(3)
+    o = {"kind": kind, "k": k, "m": m, "canonical": canonical}
+    for some in (docs, docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "seq"), docs.where("false")):
+        want = index.color_ids(index.doc_minimizers(some, **o)).where("h = rep").select("size", "rep", "cid")
+        got = index.color_sets(some, **o).select("size", "rep", "cid")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_absent_ids_stay_out_of_shuffles(spark, tmp_path):
     """Sets of few ids of very many, of all, of none but the last: the complement follows from the gaps,
     and what the catalogue query shuffles grows with the members."""
